@@ -6,12 +6,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.io import table
-from tidemark.llm import tokenize
+from tidemark.llm import lookalike, tokenize
+
+
+def p1_found(spark: SparkSession, folder: str) -> DataFrame:
+    items = lookalike.same_looking_pairs(table(spark, folder, "collected_items"), "item", "record_id", "title")
+    return items.unionByName(lookalike.same_looking_pairs(table(spark, folder, "radar_events"), "event", "event_id", "title_zh"))
 
 
 def p8_ids(spark: SparkSession, folder: str) -> DataFrame:
     return tokenize.token_ids(table(spark, folder, "documents"), "doc_id", "text")
 
 
-QUERIES = {"p8_ids": p8_ids}
+QUERIES = {"p1_found": p1_found, "p8_ids": p8_ids}
 ORACLES: dict[str, str] = {}
