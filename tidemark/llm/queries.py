@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.io import table
-from tidemark.llm import lookalike, tokenize
+from tidemark.llm import lookalike, mainbody, tokenize
 
 
 def p1_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -14,9 +14,15 @@ def p1_found(spark: SparkSession, folder: str) -> DataFrame:
     return items.unionByName(lookalike.same_looking_pairs(table(spark, folder, "radar_events"), "event", "event_id", "title_zh"))
 
 
+def p2_found(spark: SparkSession, folder: str) -> DataFrame:
+    pages = table(spark, folder, "source_specs").where("kind = 'html_page'").select(F.col("id").alias("source_id")).distinct()
+    items = table(spark, folder, "collected_items").select("record_id", "source_id", "title", "content", "raw_snapshot").join(pages, "source_id", "left_semi")
+    return mainbody.body_lines(items, "record_id", "content", "raw_snapshot", "title")
+
+
 def p8_ids(spark: SparkSession, folder: str) -> DataFrame:
     return tokenize.token_ids(table(spark, folder, "documents"), "doc_id", "text")
 
 
-QUERIES = {"p1_found": p1_found, "p8_ids": p8_ids}
+QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p8_ids": p8_ids}
 ORACLES: dict[str, str] = {}
