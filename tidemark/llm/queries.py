@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.io import table
-from tidemark.llm import lookalike, mainbody, tokenize
+from tidemark.llm import lookalike, mainbody, neighbours, tokenize
 
 
 def p1_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -20,9 +20,15 @@ def p2_found(spark: SparkSession, folder: str) -> DataFrame:
     return mainbody.body_lines(items, "record_id", "content", "raw_snapshot", "title")
 
 
+def p4_found(spark: SparkSession, folder: str) -> DataFrame:
+    versions = table(spark, folder, "item_versions").select("id", "embedding_vector", "metadata")
+    got = neighbours.nearest(versions, "id", "embedding_vector", F.col("metadata.embedding_space"))
+    return got.select(F.col("id").alias("version_id"), F.col("neighbour").alias("neighbour_id"))
+
+
 def p8_ids(spark: SparkSession, folder: str) -> DataFrame:
     return tokenize.token_ids(table(spark, folder, "documents"), "doc_id", "text")
 
 
-QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p8_ids": p8_ids}
+QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p4_found": p4_found, "p8_ids": p8_ids}
 ORACLES: dict[str, str] = {}
