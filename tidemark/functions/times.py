@@ -106,23 +106,35 @@ def _offset_minutes(zone: Column, source_zone: Column) -> Column:
     return out
 
 
-def utc_micros(text: Column, source_zone: Column, date_order: Column) -> Column:
-    """Microseconds since 1970 UTC that ``text`` states, as BIGINT; null where it states no possible instant.
+NAMES = ("y", "mo", "d", "n1", "n2", "mon", "h", "mi", "s", "f", "half", "zone", "count")
 
-    One struct of parts is built by the cascade (the first pattern that fits), then checked and counted once.
-    """
-    clean = F.regexp_replace(text, r"(?U)^[\s ​﻿]+|[\s ​﻿]+$", "")
-    zone = F.when(source_zone.isin(_ZONES), source_zone).otherwise(F.lit("UTC"))
-    names = ("y", "mo", "d", "n1", "n2", "mon", "h", "mi", "s", "f", "half", "zone", "count")
+
+def _cascade(text: Column) -> Column:
+    """A struct of the parts of the first pattern that fits; null where none does."""
+    clean = F.regexp_replace(text, r"(?U)^[\s\u200B\uFEFF]+|[\s\u200B\uFEFF]+$", "")
 
     def parts(shape: Shape) -> Column:
         got = lambda n: F.nullif(F.regexp_extract(clean, shape.anchored, shape.parts[n]), F.lit("")) if n in shape.parts else F.lit(None).cast("string")
-        return F.struct(*[got(n).alias(n) for n in names])
+        return F.struct(*[got(n).alias(n) for n in NAMES])
+
+    empty = F.lit(None).cast("struct<" + ",".join(f"{n}:string" for n in NAMES) + ">")
+    return reduce(lambda rest, shape: F.when(clean.rlike(shape.anchored), parts(shape)).otherwise(rest), reversed(SHAPES), empty)
+
+
+def _once(value: Column, use) -> Column:
+    """``use`` of a value that is named once: a transform over one element, so that the cascade isn't evaluated for every part."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def utc_micros(text: Column, source_zone: Column, date_order: Column) -> Column:
+    """Microseconds since 1970 UTC that ``text`` states, as BIGINT; null where it states no possible instant."""
+    zone = F.when(source_zone.isin(_ZONES), source_zone).otherwise(F.lit("UTC"))
+    return _once(_cascade(text), lambda p: _count(p, zone, date_order))
+
 
-    empty = F.lit(None).cast("struct<" + ",".join(f"{n}:string" for n in names) + ">")
-    chosen = reduce(lambda rest, shape: F.when(clean.rlike(shape.anchored), parts(shape)).otherwise(rest), reversed(SHAPES), empty)
-    # transform over a one-element array names the struct once, so that the cascade isn't evaluated for every part
-    return F.element_at(F.transform(F.array(chosen), lambda p: _count(p, zone, date_order)), 1)
+def states_second_and_zone(text: Column) -> Column:
+    """Whether ``text`` names its second and its zone, or counts from 1970 UTC."""
+    return F.coalesce(_once(_cascade(text), lambda p: p["count"].isNotNull() | (p["s"].isNotNull() & p["zone"].isNotNull())), F.lit(False))
 
 
 def _count(p: Column, zone: Column, date_order: Column) -> Column:
