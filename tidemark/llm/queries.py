@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.io import table
-from tidemark.llm import lookalike, mainbody, neighbours, tokenize
+from tidemark.llm import fusion, lookalike, mainbody, neighbours, tokenize
+from tidemark.operators.instants import with_source_clock
 
 
 def p1_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -26,9 +27,16 @@ def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     return got.select(F.col("id").alias("version_id"), F.col("neighbour").alias("neighbour_id"))
 
 
+def p6_found(spark: SparkSession, folder: str) -> DataFrame:
+    items = table(spark, folder, "collected_items").select("record_id", "external_id", "source_id", "summary", "authors", "published_at", "collected_at")
+    events = table(spark, folder, "radar_events").select("event_id", "cluster_id", "source_id", "primary_url", "verification_status", "first_seen_at")
+    made = fusion.item_claims(with_source_clock(items, table(spark, folder, "source_specs"))).unionByName(fusion.event_claims(events))
+    return fusion.survivors(made).select(F.col("grp").alias("group_key"), F.col("field").alias("field_name"), F.col("key").alias("row_key"))
+
+
 def p8_ids(spark: SparkSession, folder: str) -> DataFrame:
     return tokenize.token_ids(table(spark, folder, "documents"), "doc_id", "text")
 
 
-QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p4_found": p4_found, "p8_ids": p8_ids}
+QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p4_found": p4_found, "p6_found": p6_found, "p8_ids": p8_ids}
 ORACLES: dict[str, str] = {}
