@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.io import table
-from tidemark.llm import fusion, lookalike, mainbody, neighbours, reading, tokenize
+from tidemark.llm import fusion, lookalike, mainbody, nearduplicates, neighbours, reading, tokenize
 from tidemark.operators.instants import with_source_clock
 
 
@@ -34,6 +34,16 @@ def p6_found(spark: SparkSession, folder: str) -> DataFrame:
     return fusion.survivors(made).select(F.col("grp").alias("group_key"), F.col("field").alias("field_name"), F.col("key").alias("row_key"))
 
 
+def p7_found(spark: SparkSession, folder: str) -> DataFrame:
+    pages = table(spark, folder, "source_specs").where("kind = 'html_page'").select(F.col("id").alias("source_id")).distinct()
+    items = table(spark, folder, "collected_items").select("record_id", "source_id", "content").join(pages, "source_id", "left_anti")
+    none = F.lit(None).cast("string")
+    rows = items.select(F.lit("item").alias("kind"), F.col("record_id").alias("id"), none.alias("apart"), F.col("content").alias("text"))
+    events = table(spark, folder, "radar_events").select(F.lit("event").alias("kind"), F.col("event_id").alias("id"), F.col("cluster_id").alias("apart"), F.col("summary_zh").alias("text"))
+    how = {"item": ("word", 3, 40), "event": ("character", 4, 0)}
+    return nearduplicates.near_duplicates(rows.unionByName(events), how, 0.5).select(F.col("kind").alias("record_kind"), "id_a", "id_b")
+
+
 def p8_ids(spark: SparkSession, folder: str) -> DataFrame:
     return tokenize.token_ids(table(spark, folder, "documents"), "doc_id", "text")
 
@@ -42,5 +52,5 @@ def p10_found(spark: SparkSession, folder: str) -> DataFrame:
     return reading.reading_levels(table(spark, folder, "documents"), table(spark, folder, "reading_labels"))
 
 
-QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p4_found": p4_found, "p6_found": p6_found, "p8_ids": p8_ids, "p10_found": p10_found}
+QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p4_found": p4_found, "p6_found": p6_found, "p7_found": p7_found, "p8_ids": p8_ids, "p10_found": p10_found}
 ORACLES: dict[str, str] = {}
