@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.io import table
-from tidemark.llm import fusion, lookalike, mainbody, nearduplicates, neighbours, reading, tokenize
+from tidemark.llm import fusion, lookalike, mainbody, nearduplicates, neighbours, packing, reading, tokenize
 from tidemark.operators.instants import with_source_clock
 
 
@@ -48,9 +48,14 @@ def p8_ids(spark: SparkSession, folder: str) -> DataFrame:
     return tokenize.token_ids(table(spark, folder, "documents"), "doc_id", "text")
 
 
+def p9_packing(spark: SparkSession, folder: str) -> DataFrame:
+    sizes = tokenize.token_counts(table(spark, folder, "documents"), "doc_id", "text")
+    return packing.pack_documents(sizes, "doc_id", "n_tokens", 2048)
+
+
 def p10_found(spark: SparkSession, folder: str) -> DataFrame:
     return reading.reading_levels(table(spark, folder, "documents"), table(spark, folder, "reading_labels"))
 
 
-QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p4_found": p4_found, "p6_found": p6_found, "p7_found": p7_found, "p8_ids": p8_ids, "p10_found": p10_found}
+QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p4_found": p4_found, "p6_found": p6_found, "p7_found": p7_found, "p8_ids": p8_ids, "p9_packing": p9_packing, "p10_found": p10_found}
 ORACLES: dict[str, str] = {}
