@@ -12,6 +12,8 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tidemark.functions.identity import plain_text
+
 
 def dot(a: Column, b: Column) -> Column:
     """Sum of products in doubles."""
@@ -37,12 +39,16 @@ def is_valid(vector: Column, length: int) -> Column:
     return F.coalesce((F.size(vector) == length) & finite & F.exists(vector, lambda x: x != 0), F.lit(False))
 
 
+# What a token is, and how a token's digest of eight bytes gives its bucket (first four) and sign (fifth).
+_TOKEN = re.compile(r"[a-z0-9][a-z0-9_-]{1,}|[\u4e00-\u9fff]{2,}", re.I)
+
+
 def hashed_features(text: str | None, dims: int = 1024) -> list[float]:
     """Signed, log-scaled counts of tokens in hashed buckets, of length one; all zeros for a text without a token."""
     out = np.zeros(dims)
-    for token, count in Counter(re.findall(r"[a-z0-9_+-]+|[一-鿿]", (text or "").lower())).items():
-        h = int.from_bytes(hashlib.blake2b(token.encode(), digest_size=8).digest(), "big")
-        out[h % dims] += (1.0 if h >> 63 else -1.0) * (1.0 + math.log(count))
+    for token, count in Counter(_TOKEN.findall(plain_text(text).casefold())).items():
+        d = hashlib.blake2b(token.encode(), digest_size=8).digest()
+        out[int.from_bytes(d[:4], "big") % dims] += (1 if d[4] % 2 else -1) * (1 + math.log(count))
     norm = np.linalg.norm(out)
     return (out / norm if norm else out).tolist()
 

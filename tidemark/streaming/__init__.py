@@ -1 +1 @@
-"""streaming of the engine."""
+"""Structured Streaming: ingest into versions, windowed counts, deduplication, ranked state."""
