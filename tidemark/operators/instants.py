@@ -17,13 +17,17 @@ def with_source_clock(df: DataFrame, sources: DataFrame) -> DataFrame:
     return df.join(clock, df["source_id"] == clock["__source"], "left").drop("__source")
 
 
-def instants(df: DataFrame, sources: DataFrame, kind: str, key: str, fields: list[str]) -> DataFrame:
+def instants(tables: list[tuple[DataFrame, str, str, list[str]]], sources: DataFrame) -> DataFrame:
     """(record_kind, row_key, field_name, utc_micros): one row per value that states a possible instant.
 
-    Null keys, null and unreadable values give no row; repeated rows give one row. ``df`` needs ``key``,
-    ``source_id`` and ``fields``; its other columns are not read.
+    ``tables``: (rows, kind, key column, time columns); each needs ``source_id`` besides, other columns are not read.
+    All values go through one cascade. Null keys, null and unreadable values give no row; repeated rows give one row.
     """
-    slim = df.select(F.col(key).alias("row_key"), "source_id", F.array(*[F.struct(F.lit(f).alias("field_name"), F.col(f).alias("v")) for f in fields]).alias("__values"))
-    long = with_source_clock(slim, sources).select("row_key", F.explode("__values").alias("x"), "__zone", "__order").where(F.col("x.v").isNotNull() & F.col("row_key").isNotNull())
-    out = long.select(F.lit(kind).alias("record_kind"), "row_key", F.col("x.field_name").alias("field_name"), utc_micros(F.col("x.v"), F.col("__zone"), F.col("__order")).alias("utc_micros"))
+    long = None
+    for df, kind, key, fields in tables:
+        values = F.array(*[F.struct(F.lit(f).alias("field_name"), F.col(f).alias("v")) for f in fields])
+        one = df.select(F.lit(kind).alias("record_kind"), F.col(key).alias("row_key"), "source_id", F.explode(values).alias("x")).select("record_kind", "row_key", "source_id", "x.*")
+        long = one if long is None else long.unionByName(one)
+    timed = with_source_clock(long.where("v is not null and row_key is not null"), sources)
+    out = timed.select("record_kind", "row_key", "field_name", utc_micros(F.col("v"), F.col("__zone"), F.col("__order")).alias("utc_micros"))
     return out.where(F.col("utc_micros").isNotNull()).groupBy("record_kind", "row_key", "field_name").agg(F.min("utc_micros").alias("utc_micros"))

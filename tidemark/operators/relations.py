@@ -32,10 +32,10 @@ def first_filled(df: DataFrame, keys: list[str], order: list[str], fields: list[
 
 def reconcile(stored: DataFrame, referenced: DataFrame, protected: DataFrame, key: str) -> DataFrame:
     """(key, state): orphan (stored, not referenced), missing (referenced, not stored), protected or kept, by set algebra."""
-    side = lambda df, n: df.select(key).where(F.col(key).isNotNull()).distinct().withColumn(n, F.lit(1))
-    both = side(stored, "s").join(side(referenced, "r"), key, "full").join(side(protected, "p"), key, "left")
-    state = F.when(F.col("s").isNull(), "missing").when(F.col("p").isNotNull(), "protected").when(F.col("r").isNull(), "orphan").otherwise("kept")
-    return both.select(key, state.alias("state"))
+    side = lambda df, n: df.select(F.col(key).alias("__k")).where(F.col("__k").isNotNull()).distinct().withColumn(n, F.lit(1))
+    both = side(stored, "__s").join(side(referenced, "__r"), "__k", "full").join(side(protected, "__p"), "__k", "left")
+    state = F.when(F.col("__s").isNull(), "missing").when(F.col("__p").isNotNull(), "protected").when(F.col("__r").isNull(), "orphan").otherwise("kept")
+    return both.select(F.col("__k").alias(key), state.alias("state"))
 
 
 def related(df: DataFrame, key: str, entities: str, cluster: str, order: list[Column], k: int = 4) -> DataFrame:
@@ -67,10 +67,10 @@ def rotate(df: DataFrame, order: list[Column], fresh: int, window: int, offset:
     The rank over the whole list is the feature: the list is one page's links.
     """
     ranked = df.withColumn("__p", F.row_number().over(Window.orderBy(*order)) - 1)
-    pool = ranked.agg((F.count("*") - fresh).alias("n"))
+    pool = ranked.agg((F.count("*") - fresh).alias("__n"))
     placed = ranked.join(F.broadcast(pool))  # one row
-    turn = F.pmod(F.col("__p") - fresh - F.lit(offset), F.greatest("n", F.lit(1)))
-    return placed.where((F.col("__p") < fresh) | (turn < window)).drop("__p", "n")
+    turn = F.pmod(F.col("__p") - fresh - F.lit(offset), F.greatest("__n", F.lit(1)))
+    return placed.where((F.col("__p") < fresh) | (turn < window)).drop("__p", "__n")
 
 
 def stop_at_known(df: DataFrame, group: str, position: str, known: Column) -> DataFrame:

@@ -37,13 +37,13 @@ def retention(versions: DataFrame, current: DataFrame, referenced: DataFrame, no
 
     ``versions``: id, item_id, fetched_at and payload; ``current``: item_id, id; ``referenced``: id.
     """
-    cur = current.select(F.col("item_id").alias("ci"), F.col("id").alias("cv")).distinct()
-    refs = referenced.select(F.col("id").alias("rv")).where("rv is not null").distinct()
-    tagged = versions.join(cur, (versions["item_id"] == F.col("ci")) & (versions["id"] == F.col("cv")), "left").join(refs, versions["id"] == F.col("rv"), "left")
-    tagged = tagged.withColumn("is_current", F.col("cv").isNotNull()).withColumn("is_referenced", F.col("rv").isNotNull()).drop("ci", "cv", "rv")
+    cur = current.select(F.col("item_id").alias("__ci"), F.col("id").alias("__cv")).distinct()
+    refs = referenced.select(F.col("id").alias("__rv")).where("__rv is not null").distinct()
+    tagged = versions.join(cur, (versions["item_id"] == F.col("__ci")) & (versions["id"] == F.col("__cv")), "left").join(refs, versions["id"] == F.col("__rv"), "left")
+    tagged = tagged.withColumn("is_current", F.col("__cv").isNotNull()).withColumn("is_referenced", F.col("__rv").isNotNull()).drop("__ci", "__cv", "__rv")
     # the latest predecessor by aggregation, not by a sort of all versions
-    prev = tagged.where(~F.col("is_current")).groupBy("item_id").agg(F.max_by("id", F.struct("fetched_at", "id")).alias("pv"))
-    out = tagged.join(prev, "item_id", "left").withColumn("is_latest_history", F.coalesce(F.col("id") == F.col("pv"), F.lit(False))).drop("pv")
+    prev = tagged.where(~F.col("is_current")).groupBy("item_id").agg(F.max_by("id", F.struct("fetched_at", "id")).alias("__pv"))
+    out = tagged.join(prev, "item_id", "left").withColumn("is_latest_history", F.coalesce(F.col("id") == F.col("__pv"), F.lit(False))).drop("__pv")
     age = F.datediff(now, F.col("fetched_at"))
     out = out.withColumn("is_recent", F.col("fetched_at") >= now - F.expr(f"INTERVAL {days} DAYS")).withColumn("age_days", age)
     return out.withColumn("is_candidate", ~(F.col("is_current") | F.col("is_referenced") | F.col("is_latest_history") | F.col("is_recent")))

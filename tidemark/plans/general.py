@@ -11,9 +11,8 @@ from tidemark.operators.scd2 import history, state_hash
 
 
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:
-    sources = table(spark, folder, "source_specs")
-    items = instants(table(spark, folder, "collected_items"), sources, "item", "record_id", ["published_at", "updated_at"])
-    return items.unionByName(instants(table(spark, folder, "radar_events"), sources, "event", "event_id", ["source_time"]))
+    tables = [(table(spark, folder, "collected_items"), "item", "record_id", ["published_at", "updated_at"]), (table(spark, folder, "radar_events"), "event", "event_id", ["source_time"])]
+    return instants(tables, table(spark, folder, "source_specs"))
 
 
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
