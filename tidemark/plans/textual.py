@@ -247,7 +247,7 @@ def html_links(spark, d):
     """Anchors of whole pages."""
     from tidemark.sources.pages import links_of
 
-    p = table(spark, d, "collected_items").where("raw_snapshot is not null").select("record_id", F.decode("raw_snapshot", "UTF-8").alias("page"))
+    p = table(spark, d, "collected_items").where("raw_snapshot is not null").select("record_id", F.col("raw_snapshot").cast("string").alias("page"))
     return p.select("record_id", F.posexplode(links_of("page")).alias("pos", "a")).select("record_id", "pos", "a.href", "a.text")
 
 
@@ -256,7 +256,7 @@ def html_article(spark, d):
     """Titles and addresses of whole pages."""
     from tidemark.sources.pages import article_of
 
-    p = table(spark, d, "collected_items").where("raw_snapshot is not null").select("record_id", article_of(F.decode("raw_snapshot", "UTF-8")).alias("p"))
+    p = table(spark, d, "collected_items").where("raw_snapshot is not null").select("record_id", article_of(F.col("raw_snapshot").cast("string")).alias("p"))
     return p.select("record_id", "p.title", "p.description", F.length("p.content").alias("chars"))
 
 

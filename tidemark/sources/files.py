@@ -20,7 +20,7 @@ PARSERS: dict[str, Callable[[DataFrame], DataFrame]] = {
 def payload_files(spark: SparkSession, folder: str, source_id: str) -> DataFrame:
     """One payload a file."""
     f = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
-    return f.select(F.lit(source_id).alias("source_id"), F.col("path").alias("url"), F.decode("content", "UTF-8").alias("body"), F.col("modificationTime").alias("fetched_at"))
+    return f.select(F.lit(source_id).alias("source_id"), F.col("path").alias("url"), F.col("content").cast("string").alias("body"), F.col("modificationTime").alias("fetched_at"))
 
 
 def parse(payloads: DataFrame, kinds: dict[str, str]) -> tuple[DataFrame, list[str]]:
