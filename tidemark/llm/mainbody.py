@@ -181,8 +181,8 @@ def body_lines(df: DataFrame, key: str, text_field: str, page_field: str, title:
 
     Repeated rows give their lines once.
     """
-    page = F.decode(page_field, "UTF-8") if dict(df.dtypes)[page_field] == "binary" else F.col(page_field)
-    labelled = df.select(key, F.col(page_field).alias("p")).where(page.contains("<article")).orderBy(F.xxhash64(key), key).limit(most)
+    mark = F.encode(F.lit("<article"), "UTF-8") if dict(df.dtypes)[page_field] == "binary" else F.lit("<article")
+    labelled = df.select(key, F.col(page_field).alias("p")).where(F.contains(F.col("p"), mark)).orderBy(F.xxhash64(key), key).limit(most)
     sample = [bytes(r["p"]).decode("utf-8", "replace") if not isinstance(r["p"], str) else r["p"] for r in labelled.select("p").collect()]
     weights = tuple(sorted(fit(sample).items()))
 
