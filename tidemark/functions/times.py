@@ -161,3 +161,9 @@ def _count(p: Column, zone: Column, date_order: Column) -> Column:
     digits = F.length(F.regexp_replace(p["count"], "^[+-]", ""))
     counted = F.when(digits <= 11, n * 1_000_000).when(digits <= 14, n * 1000).when(digits <= 17, n).otherwise(F.floor(n / 1000))
     return F.when(p.isNull(), F.lit(None)).when(p["count"].isNotNull(), counted).when(possible, stated).cast("bigint")
+
+
+def retry_at(text: Column, now: Column) -> Column:
+    """When a retry header allows another try: seconds from ``now`` or a date; null for anything else."""
+    seconds = F.when(text.rlike(r"^\s*\d{1,9}\s*$"), F.trim(text).cast("bigint"))
+    return F.coalesce(F.timestamp_micros(F.unix_micros(now) + seconds * 1_000_000), F.when(seconds.isNull(), F.timestamp_micros(utc_micros(text, F.lit("UTC"), F.lit("dmy")))))

@@ -392,3 +392,35 @@ def label_precision(spark, d):
     g = lab.join(c, "doc_id").groupBy("reviewer").agg(F.count("*").alias("samples"), F.count_if(F.col("reading_level") == F.col("p")).alias("correct"))
     share = F.col("correct") / F.col("samples")
     return g.select("reviewer", "samples", "correct", F.round(share, 6).alias("label_precision"), ((F.col("samples") >= 20) & (share >= 0.85)).alias("passed"))
+
+
+_OLD, _NEW = "o_orderdate < DATE '1995-06-01'", "o_orderdate >= DATE '1995-06-01'"
+
+
+@query(f"""WITH x AS (SELECT o_custkey, o_orderkey, o_orderstatus, 0 AS n, o_orderdate FROM orders WHERE {_OLD} UNION ALL SELECT o_custkey, o_orderkey, o_orderstatus, 1, o_orderdate FROM orders WHERE {_NEW})
+SELECT o_custkey, arg_max(o_orderkey, (n, o_orderdate, o_orderkey)) AS o_orderkey, arg_max(o_orderstatus, (n, o_orderdate, o_orderkey)) AS o_orderstatus FROM x GROUP BY o_custkey""")
+def keyed_upsert(spark, d):
+    """A table's rows by key after a batch."""
+    from tidemark.operators.state import upsert
+
+    o = _t(spark, d, "orders").select("o_custkey", "o_orderkey", "o_orderstatus", "o_orderdate")
+    got = upsert(o.where(_OLD), o.where(_NEW), ["o_custkey"], ["o_orderdate", "o_orderkey"])
+    return got.select("o_custkey", "o_orderkey", "o_orderstatus")
+
+
+@query(f"SELECT o_custkey, min(o_orderkey) AS o_orderkey FROM orders WHERE {_NEW} AND o_custkey NOT IN (SELECT o_custkey FROM orders WHERE {_OLD}) GROUP BY o_custkey")
+def insert_or_ignore(spark, d):
+    """L2: only new keys come in."""
+    from tidemark.operators.state import insert_or_ignore as f
+
+    o = _t(spark, d, "orders").select("o_custkey", "o_orderkey", "o_orderdate")
+    return f(o.where(_OLD), o.where(_NEW).drop("o_orderdate"), ["o_custkey"], ["o_orderkey"])
+
+
+@query("""WITH k AS (SELECT user_id, max((ts, event_id)) FILTER (event_type <> 'error') AS ok FROM events GROUP BY user_id)
+SELECT e.user_id, (count(*) FILTER (event_type = 'error' AND (ok IS NULL OR (ts, event_id) > ok)))::BIGINT AS failures, max(ts) FILTER (event_type <> 'error') AS last_success FROM events e JOIN k USING (user_id) GROUP BY e.user_id""")
+def failure_streaks(spark, d):
+    """Failures since the last success of every key."""
+    from tidemark.operators.state import failure_streaks as f
+
+    return f(_t(spark, d, "events").select("user_id", "ts", "event_id", "event_type"), "user_id", "ts", "event_id", F.col("event_type") == "error")
