@@ -8,10 +8,11 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 @pytest.fixture(scope="session")
 def spark():
-    from tidemark.session import local_session
+    from tidemark.session import local_session, ship
 
     s = local_session("4", "tests")
     s.conf.set("spark.sql.shuffle.partitions", "4")
     s.sparkContext.setLogLevel("ERROR")
+    ship(s)
     yield s
     s.stop()

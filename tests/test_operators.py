@@ -59,8 +59,10 @@ def test_greedy_clusters_against_sequential(spark):
     base = [[rng.gauss(0, 1) for _ in range(16)] for _ in range(12)]
     rows = [(f"n{i:03}", rng.choice("pq"), [x + rng.gauss(0, 0.12) for x in rng.choice(base)], rng.random()) for i in range(150)]
     df = spark.createDataFrame(rows, "k string, t string, v array<double>, o double")
-    edges = clusters.similar_edges(df, "k", "v", ["t"], 0.92, 16)
-    got = {r.k: r.root for r in clusters.greedy_clusters(df, edges, "k", F.struct("o", "k")).collect()}
+    rows += [(f"m{i:03}", "p", rows[0][2], rng.random()) for i in range(60)]
+    df = spark.createDataFrame([*rows, ("none", "p", None, 0.5), ("short", "p", [1.0], 0.5), ("nowhere", None, rows[0][2], 0.0)], df.schema)
+    got = {r.k: r.root for r in clusters.greedy_clusters(df, "k", "v", ["t"], F.struct("o", "k"), 0.92, 16).collect()}
+    assert [got.pop(k) for k in ("none", "short", "nowhere")] == ["none", "short", "nowhere"]
     import numpy as np
 
     roots, want = [], {}
@@ -68,7 +70,7 @@ def test_greedy_clusters_against_sequential(spark):
     kind = {k: t for k, t, _, _ in rows}
     for k, _, _, _ in sorted(rows, key=lambda r: (r[3], r[0])):
         near = [(float(unit[k] @ unit[r]), r) for r in roots if kind[r] == kind[k] and unit[k] @ unit[r] >= 0.92]
-        want[k] = max(near)[1] if near else k
+        want[k] = max((round(x, 9), r) for x, r in near)[1] if near else k
         if not near:
             roots.append(k)
     assert got == want

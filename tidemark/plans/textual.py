@@ -236,10 +236,9 @@ def greedy_clusters(spark, d):
     v = table(spark, d, "item_versions").select("id", "fetched_at", F.col("metadata.embedding_space").alias("space"), "embedding_vector")
     newest = rel.latest(links.join(v.select("id", "fetched_at"), "id"), ["event_id"], ["fetched_at", "id"]).select("event_id", "id")
     e = table(spark, d, "radar_events").select("event_id", "event_type", "first_seen_at").join(newest, "event_id", "left").join(v.select("id", "space", "embedding_vector"), "id", "left")
-    usable = e.where(vectors.is_valid(F.col("embedding_vector"), 128) & F.col("space").isNotNull())
-    edges = clusters.similar_edges(usable, "event_id", "embedding_vector", ["event_type", "space"], 0.92, 128)
+    vector = F.when(vectors.is_valid(F.col("embedding_vector"), 128), F.col("embedding_vector"))
     order = F.struct(-F.unix_micros(F.col("first_seen_at").cast("timestamp")), "event_id")
-    return clusters.greedy_clusters(e, edges, "event_id", order)
+    return clusters.greedy_clusters(e.withColumn("vector", vector), "event_id", "vector", ["event_type", "space"], order, 0.92, 128)
 
 
 @query()
