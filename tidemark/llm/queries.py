@@ -58,4 +58,22 @@ def p10_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p4_found": p4_found, "p6_found": p6_found, "p7_found": p7_found, "p8_ids": p8_ids, "p9_packing": p9_packing, "p10_found": p10_found}
-ORACLES: dict[str, str] = {}
+P4_SQL = """
+WITH v AS (SELECT id, metadata.embedding_space AS space, CAST(embedding_vector AS DOUBLE[]) AS e FROM item_versions WHERE len(embedding_vector) = 128 AND metadata.embedding_space IS NOT NULL),
+ok AS (SELECT * FROM v WHERE len(list_filter(e, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0),
+p AS (SELECT a.id AS a, b.id AS b, list_cosine_similarity(a.e, b.e) AS c FROM ok a JOIN ok b ON a.space = b.space AND a.id <> b.id)
+SELECT a AS version_id, b AS neighbour_id FROM p WHERE c >= 0.8 QUALIFY row_number() OVER (PARTITION BY a ORDER BY round(c, 9) DESC, b) <= 5
+"""
+
+P7_SQL = r"""
+WITH w AS (SELECT record_id AS id, regexp_extract_all(lower(content), '[\p{L}\p{N}]+') AS w FROM collected_items c WHERE content IS NOT NULL AND len(regexp_extract_all(content, '\S+')) >= 40
+AND NOT EXISTS (SELECT 1 FROM source_specs s WHERE s.id = c.source_id AND s.kind = 'html_page')),
+e AS (SELECT event_id AS id, cluster_id AS apart, regexp_replace(lower(summary_zh), '[^\p{L}\p{N}]', '', 'g') AS t FROM radar_events WHERE summary_zh IS NOT NULL),
+s AS (SELECT 'item' AS kind, id, NULL AS apart, list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) AS s FROM w
+UNION ALL SELECT 'event', id, apart, list_distinct(list_transform(range(1, length(t) - 2), lambda i: substr(t, i, 4))) FROM e),
+x AS (SELECT kind, id, apart, len(s) AS n, unnest(s) AS g FROM s),
+p AS (SELECT a.kind, a.id AS a, b.id AS b FROM x a JOIN x b ON a.kind = b.kind AND a.g = b.g AND a.id < b.id AND (a.apart IS NULL OR b.apart IS NULL OR a.apart <> b.apart) GROUP BY ALL HAVING 3 * count(*) >= any_value(a.n) + any_value(b.n))
+SELECT kind AS record_kind, a AS id_a, b AS id_b FROM p
+"""
+
+ORACLES = {"p4_found": P4_SQL, "p7_found": P7_SQL}
