@@ -1,9 +1,9 @@
 """The most similar vectors of every vector: multi-index hashing over learned, rotated binary codes.
 
-A rotation is learned on a bounded sample (principal axes, then iterative quantisation); the signs of a rotated vector
-are its code of 128 bits. The code is cut into ``PARTS`` substrings of 16 bits, each with an index of its own. Every
-vector probes every index with its substring and all substrings one bit away, which by the pigeonhole finds every
-code within a Hamming distance of 2 * PARTS - 1 (15) and most beyond. Pairs of codes no farther apart than ``RADIUS``
+Rotations are learned on a bounded sample (principal axes, then iterative quantisation from different starts); the signs
+of a rotated vector are its code of 192 bits. The code is cut into ``PARTS`` substrings of 16 bits, each with an index
+of its own. Every vector probes every index with its substring and all substrings one bit away, which by the pigeonhole
+finds every code within a Hamming distance of 2 * PARTS - 1 (23) and most beyond. Pairs of codes no farther apart than ``RADIUS``
 are reranked by the exact cosine of their floats. Equal vectors are searched for once, through their class.
 
 Defined results: null vectors, vectors of another length, with a null, infinite or NaN number, all zeros, or without
@@ -22,24 +22,30 @@ from pyspark.sql import functions as F
 
 #: Vectors that the rotation is learned from, at most (the first by hash of their key). Every vector is indexed.
 SAMPLE = 8000
-PARTS, WIDTH = 8, 16
-#: Farther codes than this are not reranked; a cosine of 0.8 differs in 26 bits of 128 on average.
-RADIUS = 44
-
-
-def learn_rotation(vectors: np.ndarray, bits: int = PARTS * WIDTH, rounds: int = 40, seed: int = 0) -> np.ndarray:
-    """The rotation (dimensions x bits) whose signs keep most of the sample's angles; an orthogonal one for an empty sample."""
-    dims = vectors.shape[1]
-    start = np.linalg.qr(np.random.RandomState(seed).randn(bits, bits))[0]
-    if len(vectors) < bits:
-        return start[:dims]
-    w, axes = np.linalg.eigh(vectors.T @ vectors / len(vectors))
-    axes = axes[:, np.argsort(w)[::-1]][:, :bits]
-    p = vectors @ axes
-    for _ in range(rounds):
-        u, _, vt = np.linalg.svd(np.sign(p @ start).T @ p)
-        start = (u @ vt).T
-    return axes @ start
+PARTS, WIDTH = 12, 16
+#: Farther codes than this are not reranked; a cosine of 0.8 differs in 39 bits of 192 on average.
+RADIUS = 66
+
+
+def learn_rotation(vectors: np.ndarray, rounds: int = 40, seed: int = 0) -> np.ndarray:
+    """Rotations (dimensions x PARTS * WIDTH) whose signs keep most of the sample's angles; plain ones for a small sample.
+
+    Each rotation has as many columns as there are dimensions; as many rotations are learned as the bits need.
+    """
+    dims, bits = vectors.shape[1], PARTS * WIDTH
+    out = []
+    while sum(r.shape[1] for r in out) < bits:
+        turn = np.linalg.qr(np.random.RandomState(seed + len(out)).randn(dims, dims))[0]
+        if len(vectors) >= dims:
+            w, axes = np.linalg.eigh(vectors.T @ vectors / len(vectors))
+            axes = axes[:, np.argsort(w)[::-1]]
+            p = vectors @ axes
+            for _ in range(rounds):
+                u, _, vt = np.linalg.svd(np.sign(p @ turn).T @ p)
+                turn = (u @ vt).T
+            turn = axes @ turn
+        out.append(turn)
+    return np.concatenate(out, axis=1)[:, :bits]
 
 
 def _matrix(values: pd.Series, dims: int) -> np.ndarray:
@@ -57,17 +63,17 @@ def _substring(code: list[Column], part: int) -> Column:
 
 
 def similar_pairs(reps: DataFrame, least: float, dims: int, rotation: np.ndarray) -> DataFrame:
-    """(a, b, cosine) of distinct vectors of one space, a < b, found by the index. ``reps``: rep, space, v, c1, c2."""
-    slim = reps.select("rep", "space", "c1", "c2")
-    code = [F.col("c1"), F.col("c2")]
+    """(a, b, cosine) of distinct vectors of one space, a < b, found by the index. ``reps``: rep, space, v, c1, c2, c3."""
+    slim = reps.select("rep", "space", "c1", "c2", "c3")
+    code = [F.col("c1"), F.col("c2"), F.col("c3")]
     keyed = lambda part, sub: F.xxhash64("space", F.lit(part), sub)
-    index = slim.select(F.col("rep").alias("b"), F.col("space").alias("sb"), F.col("c1").alias("b1"), F.col("c2").alias("b2"), F.explode(F.array(*[F.struct(F.lit(t).alias("t"), keyed(t, _substring(code, t)).alias("k")) for t in range(PARTS)])).alias("x"))
+    index = slim.select(F.col("rep").alias("b"), F.col("space").alias("sb"), F.col("c1").alias("b1"), F.col("c2").alias("b2"), F.col("c3").alias("b3"), F.explode(F.array(*[F.struct(F.lit(t).alias("t"), keyed(t, _substring(code, t)).alias("k")) for t in range(PARTS)])).alias("x"))
     masks = F.array(F.lit(0).cast("bigint"), *[F.lit(1 << i).cast("bigint") for i in range(WIDTH)])
-    wide = slim.select("rep", "space", "c1", "c2", F.explode(masks).alias("m"))
-    probe = wide.select(F.col("rep").alias("a"), "space", "c1", "c2", F.explode(F.array(*[F.struct(F.lit(t).alias("t"), keyed(t, _substring(code, t).bitwiseXOR(F.col("m"))).alias("k")) for t in range(PARTS)])).alias("x"))
+    wide = slim.select("rep", "space", "c1", "c2", "c3", F.explode(masks).alias("m"))
+    probe = wide.select(F.col("rep").alias("a"), "space", "c1", "c2", "c3", F.explode(F.array(*[F.struct(F.lit(t).alias("t"), keyed(t, _substring(code, t).bitwiseXOR(F.col("m"))).alias("k")) for t in range(PARTS)])).alias("x"))
     met = probe.join(index.withColumnRenamed("x", "y"), F.col("x.k") == F.col("y.k")).where((F.col("x.t") == F.col("y.t")) & (F.col("space") == F.col("sb")) & (F.col("a") < F.col("b")))
-    apart = [F.col("c1").bitwiseXOR(F.col("b1")), F.col("c2").bitwiseXOR(F.col("b2"))]
-    near = met.where(F.bit_count(apart[0]) + F.bit_count(apart[1]) <= RADIUS)
+    apart = [F.col(f"c{i}").bitwiseXOR(F.col(f"b{i}")) for i in (1, 2, 3)]
+    near = met.where(F.bit_count(apart[0]) + F.bit_count(apart[1]) + F.bit_count(apart[2]) <= RADIUS)
     # a pair counts in the first of the indexes that find it, so that none comes twice
     first = reduce(lambda rest, t: F.when(F.bit_count(_substring(apart, t)) <= 1, t).otherwise(rest), reversed(range(PARTS)), F.lit(-1))
     pairs = near.where(F.col("x.t") == first).select("a", "b")
@@ -90,17 +96,17 @@ def nearest(df: DataFrame, key: str, vector: str, space: Column, k: int = 5, lea
     x = _matrix(fitted["v"], dims)
     rotation = learn_rotation(x / np.linalg.norm(x, axis=1, keepdims=True) if len(x) else x)
 
-    @F.pandas_udf("c1 bigint, c2 bigint")
+    @F.pandas_udf("c1 bigint, c2 bigint, c3 bigint")
     def codes(values: pd.Series) -> pd.DataFrame:
         bits = _matrix(values, dims) @ rotation > 0
         packed = np.packbits(bits, axis=1, bitorder="little").copy().view(np.int64)
-        return pd.DataFrame({"c1": packed[:, 0], "c2": packed[:, 1]})
+        return pd.DataFrame({"c1": packed[:, 0], "c2": packed[:, 1], "c3": packed[:, 2]})
 
     # copies of one vector form a class; one row a class is enough to search, six ids a class to answer from
     members = rows.select("id", "space", F.xxhash64("space", "v").alias("h1"), F.hash("v", "space").alias("h2"), "v").groupBy("id").agg(F.min(F.struct("h1", "h2", "space", "v")).alias("x")).select("id", "x.*")
     by_class = Window.partitionBy("h1", "h2", "space").orderBy("id")
     few = members.withColumn("r", F.row_number().over(by_class)).where(F.col("r") <= k + 1)
-    reps = few.where("r = 1").select(F.col("id").alias("rep"), "space", "h1", "h2", "v").withColumn("c", codes("v")).select("rep", "space", "v", "c.c1", "c.c2")
+    reps = few.where("r = 1").select(F.col("id").alias("rep"), "space", "h1", "h2", "v").withColumn("c", codes("v")).select("rep", "space", "v", "c.*")
     found = similar_pairs(reps, least, dims, rotation)
     ways = found.select(F.col("a").alias("rep"), F.col("b").alias("other"), "cosine").unionByName(found.select(F.col("b").alias("rep"), F.col("a").alias("other"), "cosine"))
     best = ways.withColumn("r", F.row_number().over(Window.partitionBy("rep").orderBy(F.desc("cosine"), "other"))).where(F.col("r") <= k).select("rep", "other", "cosine")
