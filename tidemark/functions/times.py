@@ -110,20 +110,31 @@ NAMES = ("y", "mo", "d", "n1", "n2", "mon", "h", "mi", "s", "f", "half", "zone",
 
 
 def _cascade(text: Column) -> Column:
-    """A struct of the parts of the first pattern that fits; null where none does."""
+    """The parts of the first pattern that fits, in the order of ``NAMES``, parted by bars; null where none does.
+
+    A pattern is anchored, so that one replacement turns a whole text into its parts.
+    """
     clean = F.regexp_replace(text, r"(?U)^[\s\u200B\uFEFF]+|[\s\u200B\uFEFF]+$", "")
 
     def parts(shape: Shape) -> Column:
-        got = lambda n: F.nullif(F.regexp_extract(clean, shape.anchored, shape.parts[n]), F.lit("")) if n in shape.parts else F.lit(None).cast("string")
-        return F.struct(*[got(n).alias(n) for n in NAMES])
+        return F.regexp_replace(clean, shape.anchored, "|".join(f"${shape.parts[n]}" if n in shape.parts else "" for n in NAMES))
+
+    return reduce(lambda rest, shape: F.when(clean.rlike(shape.anchored), parts(shape)).otherwise(rest), reversed(SHAPES), F.lit(None).cast("string"))
+
+
+class _Parts:
+    """Parts by name; a part that is missing is null."""
+
+    def __init__(self, values: Column) -> None:
+        self.values = values
 
-    empty = F.lit(None).cast("struct<" + ",".join(f"{n}:string" for n in NAMES) + ">")
-    return reduce(lambda rest, shape: F.when(clean.rlike(shape.anchored), parts(shape)).otherwise(rest), reversed(SHAPES), empty)
+    def __getitem__(self, name: str) -> Column:
+        return F.nullif(F.get(self.values, F.lit(NAMES.index(name))), F.lit(""))
 
 
-def _once(value: Column, use) -> Column:
-    """``use`` of a value that is named once: a transform over one element, so that the cascade isn't evaluated for every part."""
-    return F.element_at(F.transform(F.array(value), use), 1)
+def _once(parts: Column, use) -> Column:
+    """``use`` of parts that are named once: a transform over one element, so that the cascade isn't evaluated for every part."""
+    return F.element_at(F.transform(F.array(F.split(parts, r"\|")), lambda p: use(_Parts(p))), 1)
 
 
 def utc_micros(text: Column, source_zone: Column, date_order: Column) -> Column:
@@ -137,7 +148,7 @@ def states_second_and_zone(text: Column) -> Column:
     return F.coalesce(_once(_cascade(text), lambda p: p["count"].isNotNull() | (p["s"].isNotNull() & p["zone"].isNotNull())), F.lit(False))
 
 
-def _count(p: Column, zone: Column, date_order: Column) -> Column:
+def _count(p: _Parts, zone: Column, date_order: Column) -> Column:
     num = lambda c: c.try_cast("int")
     month_first = F.coalesce(date_order, F.lit("dmy")) == "mdy"
     year = F.when(F.length(p["y"]) == 2, num(p["y"]) + 2000).otherwise(num(p["y"]))
@@ -160,7 +171,7 @@ def _count(p: Column, zone: Column, date_order: Column) -> Column:
     n = p["count"].try_cast("bigint")
     digits = F.length(F.regexp_replace(p["count"], "^[+-]", ""))
     counted = F.when(digits <= 11, n * 1_000_000).when(digits <= 14, n * 1000).when(digits <= 17, n).otherwise(F.floor(n / 1000))
-    return F.when(p.isNull(), F.lit(None)).when(p["count"].isNotNull(), counted).when(possible, stated).cast("bigint")
+    return F.when(p.values.isNull(), F.lit(None)).when(p["count"].isNotNull(), counted).when(possible, stated).cast("bigint")
 
 
 def retry_at(text: Column, now: Column) -> Column:
