@@ -46,8 +46,12 @@ def test_rotation_and_merge(spark):
 
 
 def test_replay_and_retention(spark):
-    df = spark.createDataFrame([("a", 1, "r1", "x"), ("a", 2, "r2", "x"), ("a", 3, "r3", "y"), ("a", 4, "r4", "x")], "k string, at int, id string, t string")
+    df = spark.createDataFrame([("a", 1, "r1", "x"), ("a", 2, "r2", "x"), ("a", 3, "r3", "y"), ("a", 4, "r4", "x")], "k string, at int, id string, t string").withColumn("at", F.timestamp_seconds("at"))
     assert [(r.id, r.revision_no) for r in versions.replay(df, ["k"], "at", "id", F.col("t")).orderBy("at").collect()] == [("r1", 1), ("r3", 2), ("r4", 3)]
+    rng = random.Random(2)
+    many = spark.createDataFrame([(rng.choice("aaab"), f"2024-01-01 00:{rng.randrange(60):02}:00", f"r{i}", rng.choice("xyz")) for i in range(300)], "k string, at string, id string, t string").withColumn("at", F.col("at").cast("timestamp"))
+    plain, blocked = ({tuple(r) for r in versions.replay(many, ["k"], "at", "id", F.col("t"), hot).collect()} for hot in (10_000, 20))
+    assert plain == blocked and len(plain) > 100
     v = spark.createDataFrame([("v1", "i", "2020-01-01"), ("v2", "i", "2020-02-01"), ("v3", "i", "2020-03-01"), ("v4", "j", "2024-01-01")], "id string, item_id string, fetched_at string").withColumn("fetched_at", F.col("fetched_at").cast("timestamp"))
     cur = spark.createDataFrame([("i", "v3"), ("j", "v4")], "item_id string, id string")
     got = {r.id: r.is_candidate for r in versions.retention(v, cur, spark.createDataFrame([("v9",)], "id string"), F.lit("2024-01-02").cast("timestamp")).collect()}

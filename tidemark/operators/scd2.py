@@ -14,8 +14,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: An entity with more rows than this is cut into blocks of about this many rows.
-HOT_ROWS = 200_000
+from tidemark.operators import blocks
+from tidemark.operators.blocks import carried, cut_hot
+
+#: An entity with more rows than this is cut into blocks.
+HOT_ROWS = blocks.HOT_ROWS
 
 
 def state_hash(columns: list[Column]) -> Column:
@@ -26,23 +29,16 @@ def state_hash(columns: list[Column]) -> Column:
 def _timeline(rows: DataFrame) -> DataFrame:
     """Marks: rows (entity, at, version, hash) that change the state, with ``until`` = time of the next change."""
     order = Window.partitionBy("entity", "block").orderBy("at")
-    sizes = rows.groupBy("entity").agg(F.count("*").alias("n"))
-    hot = sizes.where(F.col("n") > HOT_ROWS)
-    cuts = (
-        rows.join(hot.select("entity", "n"), "entity", "left_semi").groupBy("entity")
-        .agg(F.percentile_approx("at", [i / 256 for i in range(1, 256)], 2000).alias("cuts"))
-    )
-    blocked = rows.join(cuts, "entity", "left").withColumn("block", F.coalesce(F.size(F.filter("cuts", lambda c: c < F.col("at"))), F.lit(0))).drop("cuts")
-    inner = blocked.withColumn("prev", F.lag(F.struct("hash")).over(order))
-    # one row per block of hot entities: the state at its end reaches the first row of the next block
-    ends = blocked.where(F.col("block") >= 0).join(hot.select("entity"), "entity", "left_semi").groupBy("entity", "block").agg(F.max_by(F.struct("hash"), "at").alias("last"))
-    across = ends.withColumn("before", F.lag("last").over(Window.partitionBy("entity").orderBy("block"))).select("entity", "block", "before")
+    blocked, hot = cut_hot(rows.withColumn("state", F.struct("hash")), ["entity"], "at", HOT_ROWS)
+    inner = blocked.withColumn("prev", F.lag("state").over(order))
+    # the state at a block's end reaches the first row of the next block
+    across = carried(blocked, hot, ["entity"], "state", ["at"])
     joined = inner.join(across, ["entity", "block"], "left")
     prev = F.coalesce("prev", "before")
     marks = joined.where(~prev["hash"].eqNullSafe(F.col("hash"))).select("entity", "block", "at", "version", "hash")
     # the first row of an entity with a null state opens nothing and equals "no version before"; it drops out above
     within = marks.withColumn("next", F.lead("at").over(order))
-    starts = marks.join(hot.select("entity"), "entity", "left_semi").groupBy("entity", "block").agg(F.min("at").alias("first"))
+    starts = marks.join(hot, "entity", "left_semi").groupBy("entity", "block").agg(F.min("at").alias("first"))
     later = starts.withColumn("after", F.lead("first").over(Window.partitionBy("entity").orderBy("block"))).select("entity", "block", "after")
     return within.join(later, ["entity", "block"], "left").select("entity", "version", "hash", F.col("at").alias("valid_from"), F.coalesce("next", "after").alias("valid_to"))
 

@@ -6,18 +6,29 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.text import text_changed
+from tidemark.operators.blocks import HOT_ROWS, carried, cut_hot
 
 
-def replay(df: DataFrame, keys: list[str], at: str, tie: str, digest: Column) -> DataFrame:
+def replay(df: DataFrame, keys: list[str], at: str, tie: str, digest: Column, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Deliveries in time order, each with the hash before it: those that change it get a version number.
 
-    Returns the keys, at, tie, digest, previous digest and revision_no (1 for the first). Hot keys sort within one
-    task's spill space; rows carry hashes only, no texts.
+    Returns the keys, at, tie, digest, previous digest and revision_no (1 for the first). Rows carry hashes, no texts; a
+    hot key is cut into blocks of its timeline, and one row a block carries the hash and the count across. Null times
+    come first and share a block.
     """
-    w = Window.partitionBy(*keys).orderBy(at, tie)
-    slim = df.select(*keys, at, tie, digest.alias("digest")).withColumn("previous", F.lag("digest").over(w))
-    changed = F.when(F.col("previous").eqNullSafe(F.col("digest")), 0).otherwise(1)
-    return slim.withColumn("changed", changed).withColumn("revision_no", F.sum("changed").over(w).cast("int")).where("changed = 1").drop("changed")
+    stamp = F.coalesce(F.unix_micros(F.col(at).cast("timestamp")), F.lit(-(1 << 62)))
+    slim = df.select(*keys, at, tie, digest.alias("digest"), F.struct(digest.alias("d")).alias("__state"), stamp.alias("__at"))
+    blocked, hot = cut_hot(slim, keys, "__at", hot_rows)
+    w = Window.partitionBy(*keys, "block").orderBy(at, tie)
+    across = carried(blocked, hot, keys, "__state", ["__at", tie])
+    seen = blocked.withColumn("__prev", F.lag("__state").over(w)).join(across, [*keys, "block"], "left").withColumn("__prev", F.coalesce("__prev", "before"))
+    first = F.col("__prev").isNull()
+    marked = seen.withColumn("__c", F.when(first | ~F.col("__prev.d").eqNullSafe(F.col("digest")), 1).otherwise(0)).withColumn("__k", F.sum("__c").over(w))
+    counts = marked.join(hot, keys, "left_semi").groupBy(*keys, "block").agg(F.sum("__c").alias("__s"))
+    earlier = Window.partitionBy(*keys).orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.withColumn("__o", F.coalesce(F.sum("__s").over(earlier), F.lit(0))).select(*keys, "block", "__o")
+    out = marked.where("__c = 1").join(offsets, [*keys, "block"], "left")
+    return out.select(*keys, at, tie, "digest", F.col("__prev.d").alias("previous"), (F.col("__k") + F.coalesce("__o", F.lit(0))).cast("int").alias("revision_no"))
 
 
 def change_kind(is_first: Column, published: Column, seen: Column, material: Column) -> Column:
