@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.operators import clusters, export, search, versions
+from tidemark.operators import blocks, clusters, export, search, versions
 from tidemark.operators import relations as rel
 from tidemark.streaming import jobs
 
@@ -52,6 +52,9 @@ def test_replay_and_retention(spark):
     many = spark.createDataFrame([(rng.choice("aaab"), f"2024-01-01 00:{rng.randrange(60):02}:00", f"r{i}", rng.choice("xyz")) for i in range(300)], "k string, at string, id string, t string").withColumn("at", F.col("at").cast("timestamp"))
     plain, blocked = ({tuple(r) for r in versions.replay(many, ["k"], "at", "id", F.col("t"), hot).collect()} for hot in (10_000, 20))
     assert plain == blocked and len(plain) > 100
+    for f in (lambda hot: blocks.with_previous(many, ["k"], "at", "id", "t", "p", hot), lambda hot: blocks.numbered(many.withColumn("o", F.hash("id")), ["k"], "o", ["id"], "n", hot)):
+        one, two = ({tuple(r) for r in f(hot).collect()} for hot in (10_000, 20))
+        assert one == two and len(one) == 300
     v = spark.createDataFrame([("v1", "i", "2020-01-01"), ("v2", "i", "2020-02-01"), ("v3", "i", "2020-03-01"), ("v4", "j", "2024-01-01")], "id string, item_id string, fetched_at string").withColumn("fetched_at", F.col("fetched_at").cast("timestamp"))
     cur = spark.createDataFrame([("i", "v3"), ("j", "v4")], "item_id string, id string")
     got = {r.id: r.is_candidate for r in versions.retention(v, cur, spark.createDataFrame([("v9",)], "id string"), F.lit("2024-01-02").cast("timestamp")).collect()}

@@ -9,6 +9,7 @@ from tidemark.functions import vectors
 from tidemark.io import table
 from tidemark.operators import relations as rel
 from tidemark.operators import versions as ver
+from tidemark.operators.blocks import numbered, with_previous
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -251,10 +252,8 @@ def retention_logical_bytes(spark, d):
 @query("""SELECT event_id, revision_no, id, CAST(row_number() OVER (PARTITION BY event_id ORDER BY revision_no, received_at, id) AS INTEGER) - 1 AS step FROM event_revisions WHERE is_material QUALIFY row_number() OVER (PARTITION BY event_id ORDER BY revision_no, received_at, id) > 1""")
 def timeline_events(spark, d):
     """material revisions after the first, in order."""
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("event_id").orderBy("revision_no", "received_at", "id")
-    return _t(spark, d, "event_revisions").where("is_material").select("event_id", "revision_no", "id", (F.row_number().over(w) - 1).alias("step")).where("step > 0")
+    r = numbered(_t(spark, d, "event_revisions").where("is_material").select("event_id", "revision_no", "received_at", "id"), ["event_id"], "revision_no", ["received_at", "id"], "n")
+    return r.where("n > 1").select("event_id", "revision_no", "id", (F.col("n") - 1).alias("step"))
 
 
 @query("""WITH o AS (SELECT event_id, score, unnest(topics) AS topic FROM radar_events), r AS (SELECT *, CASE topic WHEN 'long_horizon' THEN 1 WHEN 'autonomous_agent' THEN 2 WHEN 'self_evolving' THEN 3 WHEN 'mechanistic_interpretability' THEN 4 WHEN 'safety_governance' THEN 5 WHEN 'industrial_capital' THEN 6 END AS o FROM o)
@@ -328,24 +327,19 @@ def item_versioning(spark, d):
 SELECT record_id, old IS NULL AND title IS NOT NULL AS first_title, CASE WHEN old IS NULL OR title IS NULL THEN false ELSE abs(length(old) - length(title)) / greatest(length(old), length(title), 1) >= 0.08 END AS length_changed FROM o""")
 def materiality_lengths(spark, d):
     """The part of the change rule that lengths decide."""
-    from pyspark.sql import Window
-
     from tidemark.functions.text import length_changed
 
-    w = Window.partitionBy("external_id").orderBy("collected_at", "record_id")
-    o = _t(spark, d, "collected_items").select("record_id", "title", F.lag("title").over(w).alias("old"))
+    o = with_previous(_t(spark, d, "collected_items").select("external_id", "collected_at", "record_id", "title"), ["external_id"], "collected_at", "record_id", "title", "old")
     return o.select("record_id", (F.col("old").isNull() & F.col("title").isNotNull()).alias("first_title"), F.coalesce(length_changed(F.col("old"), F.col("title")), F.lit(False)).alias("length_changed"))
 
 
 @query()
 def materiality_ratio(spark, d):
     """Successive deliveries whose summary changed in substance, with the first changed stretch."""
-    from pyspark.sql import Window
-
     from tidemark.functions.text import first_change, text_changed
 
-    w = Window.partitionBy("external_id").orderBy("collected_at", "record_id")
-    o = _t(spark, d, "collected_items").select("external_id", "collected_at", "record_id", "summary", F.lag("summary").over(w).alias("old")).where("old is not null and summary is not null and old <> summary")
+    items = _t(spark, d, "collected_items").select("external_id", "collected_at", "record_id", "summary")
+    o = with_previous(items, ["external_id"], "collected_at", "record_id", "summary", "old").where("old is not null and summary is not null and old <> summary")
     return o.where(text_changed(F.col("old"), F.col("summary"))).select("record_id", first_change("old", "summary").alias("excerpt"))
 
 
