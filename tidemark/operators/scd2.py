@@ -29,13 +29,13 @@ def state_hash(columns: list[Column]) -> Column:
 def _timeline(rows: DataFrame) -> DataFrame:
     """Marks: rows (entity, at, version, hash) that change the state, with ``until`` = time of the next change."""
     order = Window.partitionBy("entity", "block").orderBy("at")
-    blocked, hot = cut_hot(rows.withColumn("state", F.struct("hash")), ["entity"], "at", HOT_ROWS)
+    blocked, hot = cut_hot(rows.select("entity", "at", "version", F.struct("hash").alias("state")), ["entity"], "at", HOT_ROWS)
     inner = blocked.withColumn("prev", F.lag("state").over(order))
     # the state at a block's end reaches the first row of the next block
     across = carried(blocked, hot, ["entity"], "state", ["at"])
     joined = inner.join(across, ["entity", "block"], "left")
     prev = F.coalesce("prev", "before")
-    marks = joined.where(~prev["hash"].eqNullSafe(F.col("hash"))).select("entity", "block", "at", "version", "hash")
+    marks = joined.where(~prev["hash"].eqNullSafe(F.col("state.hash"))).select("entity", "block", "at", "version", F.col("state.hash").alias("hash"))
     # the first row of an entity with a null state opens nothing and equals "no version before"; it drops out above
     within = marks.withColumn("next", F.lead("at").over(order))
     starts = marks.join(hot, "entity", "left_semi").groupBy("entity", "block").agg(F.min("at").alias("first"))
