@@ -1,12 +1,14 @@
 """Relational, cluster, search, export and stream operators on small tables."""
 
 import random
+import unicodedata
 
 import pytest
 from pyspark.sql import functions as F
 
 from tidemark.operators import blocks, clusters, export, search, versions
 from tidemark.operators import relations as rel
+from tidemark.plans import textual
 from tidemark.streaming import jobs
 
 
@@ -90,6 +92,51 @@ def test_search(spark):
     assert hits("bench") == {"1"} and hits("governence") == {"2"} and hits("zzz") == set() and hits() == set() and hits("bench", "oter") == {"1", "3"}
 
 
+def _words(text):
+    """Runs of letters, digits and their marks; each Han character alone."""
+    out, run = [], ""
+    for ch in text.lower() + " ":
+        han = "CJK UNIFIED" in unicodedata.name(ch, "")
+        kind = unicodedata.category(ch)[0]
+        if not han and (kind in "LN" or kind == "M" and run):
+            run += ch
+            continue
+        out += [run] * bool(run) + [ch] * han
+        run = ""
+    return set(out)
+
+
+def _edits(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return row[-1]
+
+
+def _brute(texts, terms):
+    hit = lambda w, t: w.startswith(t) or _edits(w, t) <= round(0.18 * len(t))
+    return any(hit(w, t) for x in texts for w in _words(x or "") for q in terms for t in _words(q))
+
+
+def test_search_of_whole_tables(spark, tmp_path):
+    titles = ["Benchmark suite", "Le benchmark de l’été", "Bench：benchmarks", "no\u00a0break governance", "发布benchmark新版", "gouvernance éthique", "governance", "be\u0301nchm", "评测", "bénch", None, ""]
+    spark.createDataFrame([(str(i), t) for i, t in enumerate(titles)], "record_id string, title string").write.parquet(str(tmp_path / "collected_items.parquet"))
+    got = {r.record_id for r in textual.search_items(spark, str(tmp_path)).collect()}
+    assert got == {str(i) for i, t in enumerate(titles) if _brute([t], ["benchm", "governence"])} >= {"1", "2", "3", "4"}
+    events = [
+        ("title", "benchmark：新版", None, None, None, None), ("summary", "x", "通过benchmarks测试", "y", [], []), ("why", "x", "y", "governance 改善", [], []), ("entity", "x", "y", "z", ["org-a", "Benchmarkia"], []),
+        ("topic", "x", "y", "z", [None], ["ai_governance", None]), ("han", "安全审议", "y", "z", [], []), ("none", "安全", "y", "z", [None], []),
+    ]
+    spark.createDataFrame(events, "event_id string, title_zh string, summary_zh string, why_it_matters string, entities array<string>, topics array<string>").write.parquet(str(tmp_path / "radar_events.parquet"))
+    got = {r.event_id for r in textual.search_events(spark, str(tmp_path)).collect()}
+    flat = lambda e: [y for x in e[1:] for y in (x if isinstance(x, list) else [x])]
+    assert got == {e[0] for e in events if _brute(flat(e), ["benchm", "governence", "审查"])} == {"title", "summary", "why", "entity", "topic", "han"}
+    index = search.postings(spark.read.parquet(str(tmp_path / "radar_events.parquet")), "event_id", search.EVENT_FIELDS)
+    assert not search.search(index, "event_id", ["null"]).count()
+
+
 def test_export(spark, tmp_path):
     df = spark.createDataFrame([("https://a.example/x",)], "primary_url string")
     assert export.guard(df, ["primary_url"]).count() == 1

@@ -42,8 +42,8 @@ def slug_title(url: Column) -> Column:
 
 
 def tokens(text: Column) -> Column:
-    """Lower-case runs of letters or digits; each Han character alone."""
-    return F.filter(F.regexp_extract_all(F.lower(text), F.lit(r"(\p{IsHan}|[\p{L}\p{N}&&[^\p{IsHan}]]+)"), 1), lambda t: t != "")
+    """Lower-case runs of letters or digits with the marks on them; each Han character alone."""
+    return F.filter(F.regexp_extract_all(F.lower(text), F.lit(r"(\p{IsHan}|[\p{L}\p{N}&&[^\p{IsHan}]][\p{L}\p{N}\p{M}&&[^\p{IsHan}]]*)"), 1), lambda t: t != "")
 
 
 def length_changed(old: Column, new: Column, least: float = 0.08) -> Column:

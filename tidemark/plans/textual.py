@@ -145,6 +145,23 @@ def search_membership(spark, d):
     return search.search(search.postings(c, "record_id", {"title": 3.0}), "record_id", ["benchm", "governence"]).select("record_id")
 
 
+_TERMS = ["benchm", "governence"]
+
+
+@query()
+def search_items(spark, d):
+    """Prefix and fuzzy membership over every title, in whatever script."""
+    c = table(spark, d, "collected_items").select("record_id", "title")
+    return search.search(search.postings(c, "record_id", {"title": 3.0}), "record_id", _TERMS).select("record_id")
+
+
+@query()
+def search_events(spark, d):
+    """The same over five fields of every event; topics stand for tags, which the tables don't hold."""
+    e = table(spark, d, "radar_events").select("event_id", *search.EVENT_FIELDS)
+    return search.search(search.postings(e, "event_id", search.EVENT_FIELDS), "event_id", _TERMS + ["审查"]).select("event_id")
+
+
 @query(r"SELECT record_id, regexp_replace(regexp_replace(regexp_replace(canonical_url, '[?#].*$', ''), '/+$', ''), '^.*/', '') AS slug FROM collected_items WHERE canonical_url IS NOT NULL")
 def slugs(spark, d):
     """The last path segment."""
