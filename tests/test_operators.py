@@ -169,3 +169,15 @@ def test_streams(spark, tmp_path):
     place = jobs.workspace(spark)
     j.select("l.event_id").writeStream.format("parquet").option("path", place + "/o").option("checkpointLocation", place + "/c").trigger(availableNow=True).start().awaitTermination()
     assert spark.read.parquet(place + "/o").count() == 60
+
+
+def test_late_first_deliveries(spark, tmp_path):
+    place = jobs.workspace(spark)
+    seen = []
+    for n, batch in enumerate(([("a", "2024-03-01", 1), ("a", "2024-03-02", 2), ("b", "2024-03-20", 3)], [("a", "2024-03-21", 4), ("b", "2024-02-01", 5), ("c", None, 6)], [("b", "2024-03-22", 7), ("c", "2024-01-01", 8)])):
+        df = spark.createDataFrame(batch, "k string, ts string, id int").withColumn("ts", F.col("ts").cast("timestamp"))
+        df.coalesce(1).write.mode("append").parquet(str(tmp_path / "in.parquet"))
+        rows = jobs.first_deliveries(jobs.read_files(spark, str(tmp_path), "in", df.schema), "ts", "k", place).collect()
+        seen.append(sorted((r.k, r.id) for r in rows))
+        assert {r.key for r in spark.read.parquet(f"{place}/v{n}").collect()} == [{"b"}, {"a", "b"}, {"a", "b"}][n]
+    assert seen == [[("a", 1), ("b", 3)], [("a", 1), ("b", 5), ("c", 6)], [("a", 1), ("b", 5), ("c", 8)]]

@@ -301,7 +301,16 @@ def stream_ingest_available_now(spark, d):
 
 @query("SELECT count(*) AS n, count(DISTINCT external_id) AS keys FROM (SELECT external_id FROM collected_items WHERE external_id IS NOT NULL GROUP BY external_id)")
 def stream_first_deliveries(spark, d):
-    """One delivery a key, by state within the watermark."""
-    s = jobs.read_files(spark, d, "collected_items", table(spark, d, "collected_items").schema).where("external_id is not null").select("external_id", "record_id", F.lit("2026-01-01").cast("timestamp").alias("seen"))
-    got = jobs.first_deliveries(s, "seen", "external_id", jobs.workspace(spark))
-    return got.agg(F.count("*").alias("n"), F.countDistinct("external_id").alias("keys"))
+    """One delivery a key by event time, late rows folded in, as counts."""
+    return _first_deliveries(spark, d).agg(F.count("*").alias("n"), F.countDistinct("external_id").alias("keys"))
+
+
+@query("SELECT external_id, arg_min(record_id, (collected_at, record_id)) AS record_id, min(collected_at) AS collected_at FROM collected_items WHERE external_id IS NOT NULL GROUP BY external_id")
+def stream_first_records(spark, d):
+    """The delivery of each key that survives, the first by event time."""
+    return _first_deliveries(spark, d)
+
+
+def _first_deliveries(spark, d):
+    s = jobs.read_files(spark, d, "collected_items", table(spark, d, "collected_items").schema).where("external_id is not null").select("external_id", "record_id", "collected_at")
+    return jobs.first_deliveries(s, "collected_at", "external_id", jobs.workspace(spark), "record_id")

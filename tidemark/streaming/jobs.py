@@ -49,12 +49,34 @@ def tumbling_counts(stream: DataFrame, at: str, width: str, keys: list[str], pla
     return spark.read.parquet(f"{place}/out")
 
 
-def first_deliveries(stream: DataFrame, at: str, key: str, place: str) -> DataFrame:
-    """Each key's rows once, by state kept for the time of the watermark; a restart repeats nothing."""
+def first_deliveries(stream: DataFrame, at: str, key: str, place: str, tie: str | None = None, within: str = "7 days") -> DataFrame:
+    """The first row of each key by event time (then by ``tie``), whatever order rows arrive in; a restart repeats nothing.
+
+    State holds the keys seen within the time of the watermark, which is the latest event time less ``within``. A key that
+    falls behind it is closed: written once and held no longer. A row behind the watermark isn't dropped but closed at
+    once; reading folds the closed rows and the state again, so a late row that is earlier than the survivor replaces it.
+    """
     spark = stream.sparkSession
-    d = stream.withColumn("__at", F.col(at).cast("timestamp")).withWatermark("__at", "7 days").dropDuplicatesWithinWatermark([key]).drop("__at")
-    d.writeStream.format("parquet").option("path", f"{place}/out").option("checkpointLocation", f"{place}/checkpoint").trigger(availableNow=True).start().awaitTermination()
-    return spark.read.parquet(f"{place}/out")
+    whole = F.struct(*stream.columns)
+    rank = F.struct(F.col(at).isNull().alias("none"), F.col(at).cast("timestamp").alias("at"), *([F.col(tie).alias("tie")] if tie else []))
+    fold = lambda df: df.groupBy("key").agg(F.min_by("row", "rank").alias("row"), F.min("rank").alias("rank"), F.max("seen").alias("seen"))
+
+    def each(batch: DataFrame, number: int) -> None:
+        rows = fold(batch.select(F.col(key).alias("key"), whole.alias("row"), rank.alias("rank"), F.col(at).cast("timestamp").alias("seen")))
+        before = [n for n in range(number - 1, -1, -1) if _exists(spark, f"{place}/v{n}/_SUCCESS")]
+        if before:
+            rows = fold(spark.read.parquet(f"{place}/v{before[0]}").unionByName(rows))
+        rows.write.mode("overwrite").parquet(f"{place}/folded")
+        rows = spark.read.parquet(f"{place}/folded")
+        mark = rows.agg((F.max("seen") - F.expr(f"INTERVAL {within}")).alias("mark"))
+        live = F.coalesce(F.col("seen") >= F.col("mark"), F.lit(False))
+        rows.crossJoin(mark).where(~live).drop("mark").write.mode("overwrite").parquet(f"{place}/closed/batch={number}")
+        rows.crossJoin(mark).where(live).drop("mark").write.mode("overwrite").parquet(f"{place}/v{number}")
+        spark.createDataFrame([(number,)], "n int").write.mode("overwrite").parquet(f"{place}/last")
+
+    _run(stream, place, "append", each)
+    last = spark.read.parquet(f"{place}/last").first()["n"]
+    return fold(spark.read.parquet(f"{place}/closed").drop("batch").unionByName(spark.read.parquet(f"{place}/v{last}"))).select("row.*")
 
 
 def version_stream(stream: DataFrame, keys: list[str], at: str, tie: str, digest: Column, place: str) -> DataFrame:
