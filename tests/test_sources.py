@@ -5,6 +5,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from tidemark.plans import textual
 from tidemark.sources import apis, feeds, files, pages
 from tidemark.sources.contract import RECORD, rejects
 
@@ -141,3 +142,12 @@ def test_dispatch_files_and_fragments(spark, tmp_path):
     d = spark.createDataFrame([('```json\n{"a":1}\n```',), ("no",)], "b string")
     assert [r[0] for r in d.select(apis.fenced_object(F.col("b"))).collect()] == ['{"a":1}', None]
     assert "external_id string" in RECORD
+
+
+def test_long_pages(spark, tmp_path):
+    page = "<p>" + "word " * 30_000 + "end</p>"
+    ld = '<script type="application/ld+json">' + json.dumps({"@type": "Article", "articleBody": "x" * 60_000}) + "</script><p>b</p>"
+    spark.createDataFrame([("1", page.encode()), ("2", ld.encode())], "record_id string, raw_snapshot binary").write.parquet(str(tmp_path / "collected_items.parquet"))
+    assert {r.record_id: r.chars for r in textual.html_article(spark, str(tmp_path)).collect()} == {"1": 150_003, "2": 60_000}
+    assert payloads(spark, page).select(pages.document_text("body").alias("t")).first().t.endswith("word end")
+    assert [len(r.content) for r in pages.articles(payloads(spark, page), pages.ARTICLE_MOST).collect()] == [50_000]
