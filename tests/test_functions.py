@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import random
 import time
 
 from pyspark.sql import functions as F
@@ -75,3 +76,13 @@ def test_rules(spark):
     got = [[(x.topic, x.strength) for x in r[0]] for r in df.select(rules.classify(F.col("t"), F.col("k"), rs)).collect()]
     assert got == [[("t", 22)], [], [("t", 20)], [("k", 16)], []]
     assert one(spark, "An open model", lambda c: rules.tags(c, {"o": ["open"], "p": ["closed"]})) == ["o"]
+
+
+def test_long_texts(spark):
+    rng = random.Random(1)
+    noise = lambda n, of: "".join(rng.choice(of) for _ in range(n))
+    head = noise(12_000, "abcdefgh ")
+    pairs = [(head + noise(3_000, "ijkl"), head + noise(3_000, "mnop")), (head + "x", head + "y"), (head + "x" + head, head + "y" + head)]
+    df = spark.createDataFrame(pairs, "o string, n string")
+    assert [r[0] for r in df.select(text.text_changed(F.col("o"), F.col("n"))).collect()] == [True, False, False]
+    assert text.ratio_of(*pairs[0]) == 24_000 / 30_000 and text.ratio_of(*pairs[0], 10_000) == 1.0

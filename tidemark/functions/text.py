@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from difflib import SequenceMatcher
+from os.path import commonprefix
 
 import pandas as pd
 from pyspark.sql import Column
@@ -52,12 +53,22 @@ def length_changed(old: Column, new: Column, least: float = 0.08) -> Column:
     return F.abs(a - b) / F.greatest(a, b, F.lit(1)) >= least
 
 
-def ratio_of(a: str | None, b: str | None, most: int) -> float:
-    """Matching-block ratio of two texts, cut at ``most`` characters as the rule that uses it says."""
-    return SequenceMatcher(None, (a or "")[:most], (b or "")[:most], autojunk=False).ratio()
+#: From this length on, the equal ends of two texts count as matched before the blocks between them are sought.
+LONG = 10_000
 
 
-def similarity(old: Column, new: Column, most: int = 10_000) -> Column:
+def ratio_of(a: str | None, b: str | None, most: int | None = None) -> float:
+    """Matching-block ratio of two whole texts, or of their first ``most`` characters where a caller asks for that."""
+    a, b = (a or "")[:most], (b or "")[:most]
+    if max(len(a), len(b)) <= LONG:
+        return SequenceMatcher(None, a, b, autojunk=False).ratio()
+    head = len(commonprefix((a, b)))
+    tail = len(commonprefix((a[head:][::-1], b[head:][::-1])))
+    blocks = SequenceMatcher(None, a[head : len(a) - tail], b[head : len(b) - tail], autojunk=False).get_matching_blocks()
+    return 2 * (head + tail + sum(x.size for x in blocks)) / (len(a) + len(b))
+
+
+def similarity(old: Column, new: Column, most: int | None = None) -> Column:
     """``ratio_of`` for a pair of columns; meant for few pairs, after ``length_changed`` has decided the rest."""
 
     @F.pandas_udf("double")
@@ -81,7 +92,7 @@ def first_change(old: pd.Series, new: pd.Series) -> pd.Series:
     return pd.Series([one(a, b) for a, b in zip(old, new)], dtype=object)
 
 
-def text_changed(old: Column, new: Column, least_ratio: float = 0.94, most: int = 10_000) -> Column:
+def text_changed(old: Column, new: Column, least_ratio: float = 0.94, most: int | None = None) -> Column:
     """Whether a summary changed in substance: one side empty, or a tenth-like change of length or of matching blocks.
 
     Equal texts, and those whose lengths differ enough, never reach the Python ratio's cost: both are nulled first.
