@@ -181,3 +181,24 @@ def test_late_first_deliveries(spark, tmp_path):
         seen.append(sorted((r.k, r.id) for r in rows))
         assert {r.key for r in spark.read.parquet(f"{place}/v{n}").collect()} == [{"b"}, {"a", "b"}, {"a", "b"}][n]
     assert seen == [[("a", 1), ("b", 3)], [("a", 1), ("b", 5), ("c", 6)], [("a", 1), ("b", 5), ("c", 8)]]
+
+
+def test_greedy_clusters_within_days(spark):
+    rng = random.Random(7)
+    base = [[rng.gauss(0, 1) for _ in range(16)] for _ in range(6)]
+    rows = [(f"n{i:03}", "p", [x + rng.gauss(0, 0.12) for x in rng.choice(base)], rng.randrange(-60, 60)) for i in range(120)]
+    rows += [(f"m{i:03}", "p", rows[0][2], rng.randrange(-60, 60)) for i in range(40)]
+    df = spark.createDataFrame([*rows, ("none", "p", rows[0][2], None)], "k string, t string, v array<double>, day int")
+    got = {r.k: r.root for r in clusters.greedy_clusters(df, "k", "v", ["t"], F.struct(-F.col("day"), "k"), 0.92, 16, F.col("day"), 14).collect()}
+    assert got.pop("none") == "none"
+    import numpy as np
+
+    unit = {k: np.array(v) / np.linalg.norm(v) for k, _, v, _ in rows}
+    day = {k: n for k, _, _, n in rows}
+    roots, want = [], {}
+    for k in sorted(day, key=lambda k: (-day[k], k)):
+        near = [(round(float(unit[k] @ unit[r]), 9), r) for r in roots if abs(day[k] - day[r]) <= 14 and unit[k] @ unit[r] >= 0.92]
+        want[k] = max(near)[1] if near else k
+        if not near:
+            roots.append(k)
+    assert got == want and len(roots) > 20

@@ -248,14 +248,14 @@ def feature_hash_embedding(spark, d):
 
 @query()
 def greedy_clusters(spark, d):
-    """Events in order of first sight, newest first, by the embedding of their latest primary version."""
+    """Events in order of first sight, newest first, by the embedding of their latest primary version, to roots within 14 days."""
     links = table(spark, d, "event_items").where("relation = 'primary'").select("event_id", F.col("item_version_id").alias("id"))
     v = table(spark, d, "item_versions").select("id", "fetched_at", F.col("metadata.embedding_space").alias("space"), "embedding_vector")
     newest = rel.latest(links.join(v.select("id", "fetched_at"), "id"), ["event_id"], ["fetched_at", "id"]).select("event_id", "id")
     e = table(spark, d, "radar_events").select("event_id", "event_type", "first_seen_at").join(newest, "event_id", "left").join(v.select("id", "space", "embedding_vector"), "id", "left")
     vector = F.when(vectors.is_valid(F.col("embedding_vector"), 128), F.col("embedding_vector"))
     order = F.struct(-F.unix_micros(F.col("first_seen_at").cast("timestamp")), "event_id")
-    return clusters.greedy_clusters(e.withColumn("vector", vector), "event_id", "vector", ["event_type", "space"], order, 0.92, 128)
+    return clusters.greedy_clusters(e.withColumn("vector", vector), "event_id", "vector", ["event_type", "space"], order, 0.92, 128, F.unix_micros(F.col("first_seen_at").cast("timestamp")), 14 * 86_400_000_000)
 
 
 @query()
