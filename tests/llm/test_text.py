@@ -101,6 +101,12 @@ def test_article_lines():
     assert mainbody.article_lines("", False, None, w) == []
 
 
+def test_article_lines_without_a_stop():
+    w = mainbody.fit(labelled())
+    page = PAGE.replace("<p>Share this article</p>", "<h3>The old mill and the slow river</h3>\n<li>The river turns past the mill and the old bridge -</li>\n<li><a href='/x'>The river turns past the mill and the old bridge</a></li>\n<p>Share this article</p>")
+    assert mainbody.article_lines(page, True, None, w) == [8, 10, 11, 12, 15]
+
+
 def test_body_edges(spark):
     rows = [(f"p{i}", p.encode(), None, None) for i, p in enumerate(labelled())] + [("x", PAGE.encode(), None, "clash"), ("x", PAGE.encode(), None, "clash"), ("n", None, None, None), ("b", b"\xff\xfe broken", "", None), ("long", None, "The river runs to the sea and the mill.\n" * 20_000, None)]
     df = spark.createDataFrame(rows, "record_id string, raw binary, content string, title string").withColumn("line_no", F.lit(1))

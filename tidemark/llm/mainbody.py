@@ -29,6 +29,8 @@ LEAST = 4.0
 MOST, WORST, HEAD = 3.0, 5.0, 8.0
 #: What furniture inside an article and a copyright line cost: an article goes on after the one, not after the other.
 INSERT, STOP = 0.5, 20.0
+#: What reading like another page's headline costs a line of running text, inside an article's element and outside it.
+LURE, LURE_OUTSIDE = 0.5, 1.5
 #: Log-odds this near zero count as none.
 SHRINK = 1.5
 
@@ -39,6 +41,8 @@ FURNITURE = re.compile(
 )
 # Sections that hold no article text, in markup that names them.
 OUTSIDE = ("nav", "aside", "footer", "dialog", "header", "form")
+#: Elements of running text; a line of one is weighed, not dropped, where it has the form of a teaser.
+RUNNING = {"h2", "h3", "h4", "h5", "h6", "li", "blockquote"}
 HIDDEN = ("script", "style", "head", "noscript", "template", "svg")
 
 _TAG = re.compile(r"<[^<>]*>")
@@ -142,10 +146,10 @@ def article_lines(page: str, markup: bool, title: str | None, weights: dict[str,
             scores.append(HEAD)
         elif text.startswith("©"):
             scores.append(-STOP)
-        elif FURNITURE.match(text) or _teaser(lines, i, markup):
+        elif FURNITURE.match(text) or (lure := _teaser(lines, i, markup)) and not ("a" not in tags and RUNNING & set(tags)):
             scores.append(-INSERT)
         else:
-            s = weights.get("", 0.0) + sum(weights.get(w, 0.0) for w in words(text)) + sum(weights.get("<" + t, 0.0) for t in tags)
+            s = weights.get("", 0.0) + sum(weights.get(w, 0.0) for w in words(text)) + sum(weights.get("<" + t, 0.0) for t in tags) - lure * (LURE if section in ("article", "main") else LURE_OUTSIDE)
             scores.append(min(MOST, s) if s > 0 else -INSERT if head is not None else max(-WORST, s))
     best, at, total, start = LEAST, None, 0.0, 0
     for i, s in enumerate(scores):
