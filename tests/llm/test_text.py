@@ -37,6 +37,25 @@ def test_visible_differences_stay():
         assert lookalike.Speller([]).text(a) != lookalike.Speller([]).text(b)
 
 
+def test_the_walk_settles_letters_of_two_readings():
+    s = lookalike.Speller(["Interpret", "learning", "AI"])
+    assert lookalike.by_table("Ӏearning") == "Iearning" and s.token("Ӏearning") == "learning"
+    assert s.token("Ӏnterpret") == "Interpret" and s.token("AӀ") == "AI" and s.token("ӏearn\u00ading") == "learning"
+    assert s.token("Ӏong") == "Iong"  # no word holds it: the table's first reading
+    assert lookalike.Speller(["Al", "AI"]).token("AӀ") == "Al"  # the commoner word
+
+
+def test_hot_variant_is_spread(spark):
+    """A hundred thousand equal titles and two that look the same: no two of the equal ones ever meet."""
+    from tidemark.llm.pairs import pairs_within
+
+    hot = spark.range(100_000).select(F.format_string("h%06d", "id").alias("id"), F.lit("form").alias("f"), F.lit("Form").alias("t"))
+    few = spark.createDataFrame([("a", "form", "Fоrm"), ("z", "form", "F​orm"), ("q", "other", "x")], "id string, f string, t string")
+    got = pairs_within(hot.unionByName(few), "f", "t", 1000)
+    assert got.count() == 200_001
+    assert got.where("id_a = 'a'").count() == 100_001 and got.where("id_b = 'z'").count() == 100_001
+
+
 def test_edit_automaton_with_a_bound():
     t = lookalike.Trie()
     for w in ("kitten", "sitting", "mitten"):
@@ -194,6 +213,37 @@ def test_packing_operator(spark, block):
     assert packing.pack_documents(df.limit(0), "k", "n", 100).count() == 0
 
 
+@pytest.mark.parametrize("low, high, full", [(1025, 2047, False), (600, 1100, False), (1, 300, True)])
+def test_packing_turns_are_bounded(spark, monkeypatch, low, high, full):
+    """Sizes that can't be combined end after one turn; no task ever packs more than a block."""
+    rng = random.Random(8)
+    sizes = [rng.randrange(low, high) for _ in range(2000)]
+    turns, seen = [], []
+    packed = packing._packed
+
+    def watched(items, capacity, blocks, turn):
+        turns.append(turn)
+        seen.append(items.groupBy(F.pmod(F.xxhash64("item"), F.lit(blocks))).count().agg(F.max("count")).first()[0])
+        return packed(items, capacity, blocks, turn)
+
+    monkeypatch.setattr(packing, "_packed", watched)
+    rows = packing.pack_documents(spark.createDataFrame(list(enumerate(sizes)), "k bigint, n bigint"), "k", "n", 2048, 100).collect()
+    assert max(turns) <= packing.TURNS + 1 and (low < 1024 or turns == [1]) and max(seen) <= 100
+    fill = {}
+    for r in rows:
+        fill[r.container] = fill.get(r.container, 0) + r.n_tokens
+    assert len(rows) == 2000 and sum(fill.values()) == sum(sizes) and max(fill.values()) <= 2048 and min(fill) >= 0
+    if full:
+        assert sum(sizes) >= 0.98 * 2048 * (len(fill) - 1)
+
+
+def test_full_pieces_are_numbered_apart(spark):
+    df = spark.range(0, 3000, 1, 60).select(F.col("id").alias("k"), F.lit(4096 * 3 + 5).cast("bigint").alias("n"))
+    rows = packing.pack_documents(df, "k", "n", 4096, 500).collect()
+    whole = [r.container for r in rows if r.n_tokens == 4096]
+    assert len(whole) == len(set(whole)) == 9000 and len(rows) == 12_000
+
+
 # --- reading levels
 
 

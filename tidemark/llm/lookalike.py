@@ -1,11 +1,14 @@
 """Text in one visual form: look-alike letters, widths, accents' composition, invisible characters and spaces.
 
-A token is walked through a trie of vocabulary words by a weighted edit automaton: a look-alike costs nothing, an
-ignorable character costs nothing to skip, anything else costs ``EDIT``. At a bound of 0 the walk finds the vocabulary
-words that look the same as the token, and the most frequent of them (then the smallest) is its canonical spelling. A
-token the vocabulary doesn't hold is normalised by the same table of atoms. The vocabulary holds the commonest words
-that the table leaves as they are, at most ``VOCABULARY`` of them: a documented bound on what is sent to the workers,
-which no result depends on, since a spelling by the table and one by the vocabulary are the same where both exist.
+A token is walked, character by character, through a trie of vocabulary words by a weighted edit automaton: a character
+follows any of its readings (what it may look like) at no cost, an ignorable one stays where it is at no cost, anything
+else costs ``EDIT``. Of the cheapest words that the walk ends in the most frequent is the token's canonical spelling; a
+token that ends in none is spelled by the table, which takes each character's first reading. Most characters have one
+reading, and there walk and table agree; a borrowed letter that looks like two (a palochka like I and l) is settled by
+the word it stands in.
+
+The vocabulary holds the commonest words that the table leaves as they are, counted over all rows, ``VOCABULARY`` of
+them at most: a documented bound on what is sent to the workers. Beyond it a letter of two readings takes its first.
 
 Defined results: null gives null; a text of nothing but ignorables and spaces gives the empty text.
 """
@@ -46,6 +49,9 @@ RADICALS = {
     "⻫": "斉", "⻬": "齐", "⻭": "歯", "⻮": "齿", "⻯": "竜", "⻰": "龙", "⻲": "亀", "⻳": "龟",
 }
 
+# Borrowed letters that look like two Latin ones, by the second; the first is in LOOKALIKES.
+SECOND = {"Ӏ": "l", "І": "l", "Ι": "l", "ӏ": "I"}
+
 _PLAIN = ("<wide>", "<narrow>", "<compat>", "<font>", "<noBreak>", "<initial>", "<medial>", "<final>", "<isolated>")
 
 
@@ -79,19 +85,27 @@ def atoms(ch: str) -> tuple[str, ...]:
     return tuple(a for p in parts for a in atoms(p))
 
 
+@lru_cache(65536)
+def readings(ch: str) -> tuple[tuple[str, ...], ...]:
+    """All that a character may look like; an ignorable has the empty reading."""
+    second = SECOND.get(ch)
+    return (atoms(ch), (second,)) if second else (atoms(ch),)
+
+
 def by_table(token: str) -> str:
     """A token in plain characters, composed."""
     return unicodedata.normalize("NFC", "".join(a for ch in token for a in atoms(ch)))
 
 
 class Trie:
-    """Vocabulary words by their atoms; each end holds the preferred spelling."""
+    """Vocabulary words by their decomposed characters; each end holds its word's place in the order of preference."""
 
-    __slots__ = ("next", "word")
+    __slots__ = ("next", "rank", "words")
 
     def __init__(self) -> None:
         self.next: list[dict[str, int]] = [{}]
-        self.word: list[str | None] = [None]
+        self.rank: list[int | None] = [None]
+        self.words: list[str] = []
 
     def add(self, word: str) -> None:
         """Words come in order of preference: the first spelling at an end stays."""
@@ -101,36 +115,42 @@ class Trie:
             if step is None:
                 step = self.next[at][a] = len(self.next)
                 self.next.append({})
-                self.word.append(None)
+                self.rank.append(None)
             at = step
-        if self.word[at] is None:
-            self.word[at] = word
+        if self.rank[at] is None:
+            self.rank[at] = len(self.words)
+            self.words.append(word)
+
+    def _along(self, node: int, way: tuple[str, ...]) -> int | None:
+        for a in way:
+            step = self.next[node].get(a)
+            if step is None:
+                return None
+            node = step
+        return node
 
     def match(self, token: str, bound: float = 0.0) -> tuple[float, str] | None:
-        """The cheapest word within ``bound`` of ``token`` and its cost; of equally cheap ones the smallest.
+        """The cheapest word within ``bound`` of ``token`` and its cost; of equally cheap ones the most preferred.
 
-        A state is (node, cost). A look-alike follows its atoms at no cost, an ignorable stays at no cost; with a
-        bound of ``EDIT`` or more a character may also be wrong, missing or too many, at ``EDIT`` each.
+        A state is a node and the cost to be there. Every reading of a character leads on at no cost, the empty one of an
+        ignorable to where it is; with a bound of ``EDIT`` or more a character may also be wrong, missing or too many, at
+        ``EDIT`` each.
         """
-        marks = unicodedata.normalize("NFD", "".join(a for ch in token for a in atoms(ch)))
         states = self._open({0: 0.0}, bound)
-        for a in marks:
+        for ch in unicodedata.normalize("NFD", token):
             after: dict[int, float] = {}
             for node, cost in states.items():
-                step = self.next[node].get(a)
-                if step is not None and cost < after.get(step, bound + 1e-9):
-                    after[step] = cost
+                ends = [(to, cost) for way in readings(ch) if (to := self._along(node, way)) is not None]
                 if cost + EDIT <= bound:
-                    for b, other in self.next[node].items():
-                        if b != a and cost + EDIT < after.get(other, bound + 1e-9):
-                            after[other] = cost + EDIT
-                    if cost + EDIT < after.get(node, bound + 1e-9):
-                        after[node] = cost + EDIT
+                    ends += [(to, cost + EDIT) for to in (*self.next[node].values(), node)]
+                for to, c in ends:
+                    if c < after.get(to, bound + 1e-9):
+                        after[to] = c
             states = self._open(after, bound)
             if not states:
                 return None
-        ends = [(cost, self.word[node]) for node, cost in states.items() if self.word[node] is not None]
-        return min(ends) if ends else None
+        ends = [(cost, self.rank[node]) for node, cost in states.items() if self.rank[node] is not None]
+        return (min(ends)[0], self.words[min(ends)[1]]) if ends else None
 
     def _open(self, states: dict[int, float], bound: float) -> dict[int, float]:
         """States reached as well by leaving out characters of a word."""

@@ -2,9 +2,11 @@
 
 Documents come one by one; each goes to the fill level whose change makes the sum of the squared numbers of partly
 filled containers, by level, the least (a new container counts as level 0, a full one as none). Levels are tracked in
-an array. Blocks of documents are packed apart; what a block leaves partly filled goes through the same packing again
-as items of its own, block by block, until one block holds all that is left, so that space is lost once and not once
-a block.
+an array. Blocks of documents are packed apart, none larger than ``BLOCK``. What they leave partly filled goes through
+the same packing again as items of its own, for at most ``TURNS`` turns: a container that even the emptiest of the others
+would overfill is final and leaves, and the turns end as soon as nothing can be combined or one block held all of it.
+A turn divides what can be combined by the ratio of a block to what it leaves open, so that four turns are enough for
+any number of documents that can be numbered; sizes of which no two fit together end after the first.
 
 A document longer than the capacity is cut into full pieces and a rest; no other is split. Defined results: documents
 of no tokens (null or empty text) and null keys' documents get a row without a container; repeated rows are packed as
@@ -18,14 +20,17 @@ from collections import defaultdict
 from typing import Any
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.session import cut
 
-#: Items that one task packs.
+#: Items that one task packs. A smaller block packs with less in view; what it leaves open is packed again.
 BLOCK = 50_000
+#: Turns of packing what blocks left open, at most.
+TURNS = 4
 
 
 class Levels:
@@ -69,42 +74,68 @@ def pack(sizes: list[int], capacity: int) -> list[tuple[int, int]]:
     return [levels.place(s) for s in sizes]
 
 
-def _packed(items: DataFrame, capacity: int, blocks: int, round_: int) -> DataFrame:
-    """(item, size, box, start): ``items`` (item, size) packed in ``blocks`` blocks."""
+def _packed(items: DataFrame, capacity: int, blocks: int, turn: int) -> DataFrame:
+    """(key, item, piece, size, box, start, fill) of ``items`` (key, item, n), packed in ``blocks`` blocks.
+
+    ``fill`` is what the box holds in the end. Boxes are numbered by turn (4 bits), block (24 bits) and place (35 bits).
+    """
+    if blocks >= 1 << 24 or turn >= 8:
+        raise ValueError("too many blocks to number their containers; raise block")
+    fields = ("key", "item", "piece", "size", "box", "start", "fill")
+
+    def run(key: tuple[Any, ...], t: pa.Table) -> pa.Table:
+        t = t.take(pc.sort_indices(t, [("item", "ascending"), ("n", "ascending")]))
+        n = t.column("n").to_numpy()
+        levels = Levels(capacity)
+        whole, rest = n // capacity, n % capacity
+        row = np.repeat(np.arange(len(n)), whole + (rest > 0))
+        piece = np.arange(len(row)) - np.repeat(np.cumsum(whole + (rest > 0)) - (whole + (rest > 0)), whole + (rest > 0))
+        size = np.where(piece < whole[row], capacity, rest[row])
+        got = np.array([levels.place(s) for s in size.tolist()], np.int64).reshape(-1, 2)
+        fill = np.bincount(got[:, 0], weights=size, minlength=1).astype(np.int64)[got[:, 0]]
+        box = got[:, 0] + ((turn << 59) | (int(key[0].as_py()) << 35))
+        return pa.table([t.column("key").take(pa.array(row)), t.column("item").take(pa.array(row)), pa.array(piece, pa.int64()), pa.array(size, pa.int64()), pa.array(box, pa.int64()), pa.array(got[:, 1], pa.int64()), pa.array(fill, pa.int64())], names=list(fields))
+
+    kind = items.schema["key"].dataType.simpleString()
+    block = F.pmod(F.xxhash64("item"), F.lit(blocks)).cast("int")
+    return items.select("key", "item", "n", block.alias("block")).groupBy("block").applyInArrow(run, f"key {kind}, item bigint, piece bigint, size bigint, box bigint, start bigint, fill bigint")
 
-    def run(key: tuple[Any, ...], pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["item", "size"], kind="stable")
-        got = pack(pdf["size"].tolist(), capacity)
-        base = (round_ << 58) | (int(key[0]) << 32)
-        return pd.DataFrame({"item": pdf["item"].to_numpy(), "size": pdf["size"].to_numpy(), "box": [base + b for b, _ in got], "start": [s for _, s in got]}, columns=["item", "size", "box", "start"])
 
-    block = F.pmod(F.xxhash64("item"), F.lit(blocks)).cast("int")
-    return items.withColumn("block", block).groupBy("block").applyInPandas(run, "item bigint, size bigint, box bigint, start bigint")
+def _blocks(items: int, block: int) -> int:
+    """So many blocks that hashing leaves none of them over ``block`` items but by odds of one in a million."""
+    return max(1, math.ceil(items / max(1.0, block - 5 * math.sqrt(block)))) if items > block else 1
 
 
-def pack_documents(sizes: DataFrame, key: str, size: str, capacity: int, block: int = BLOCK) -> DataFrame:
+def pack_documents(sizes: DataFrame, key: str, size: str, capacity: int, block: int = BLOCK, turns: int = TURNS) -> DataFrame:
     """(key, piece, n_tokens, container, start): one row per piece of each document of ``sizes`` (key, size)."""
-    docs = sizes.select(F.col(key).alias("k"), F.coalesce(F.col(size), F.lit(0)).cast("bigint").alias("n")).withColumn("item", F.monotonically_increasing_id())
+    docs = sizes.select(F.col(key).alias("key"), F.coalesce(F.col(size), F.lit(0)).cast("bigint").alias("n")).withColumn("item", F.monotonically_increasing_id())
     docs = cut(docs)  # item numbers must not change when a task runs again
-    total = docs.agg(F.sum(F.ceil(F.col("n") / capacity)).alias("pieces"), F.count("*").alias("rows")).first()
-    pieces = docs.where("n > 0").select("item", F.explode(F.sequence(F.lit(0), ((F.col("n") - 1) / capacity).cast("int"))).alias("piece"), "n")
-    pieces = pieces.select("item", "piece", F.least(F.lit(capacity), F.col("n") - F.col("piece").cast("bigint") * capacity).alias("size"))
-    full = pieces.where(F.col("size") == capacity)
-    part = pieces.where(F.col("size") < capacity).select("item", "size")
-    rounds = cut(_packed(part, capacity, max(1, math.ceil((total["rows"] or 0) / block)), 1))
-    blocks = max(1, math.ceil((total["rows"] or 0) / block))
-    placed = rounds.select("item", "size", "box", "start")
-    turn = 1
-    while blocks > 1:
-        turn += 1
-        left = rounds.groupBy("box").agg(F.sum("size").alias("size")).where(F.col("size") < capacity).select(F.col("box").alias("item"), "size")
-        many = left.count()
-        fewer = min(blocks - 1, max(1, math.ceil(many / block)))
-        moved = cut(_packed(left, capacity, fewer, turn))
-        shift = moved.select(F.col("item").alias("box"), F.col("box").alias("to"), F.col("start").alias("by"))
-        placed = placed.join(shift, "box", "left").select("item", "size", F.coalesce("to", "box").alias("box"), (F.col("start") + F.coalesce("by", F.lit(0))).alias("start"))
-        rounds, blocks = moved, fewer
-    own = full.select("item", "piece", "size", (F.lit(1 << 62) + F.col("item") * 65536 + F.col("piece")).alias("box"), F.lit(0).cast("bigint").alias("start"))
-    rest = placed.join(pieces.where(F.col("size") < capacity).select("item", "piece"), "item").select("item", "piece", "size", "box", "start")
-    all_ = docs.select("item", "k").join(own.unionByName(rest), "item", "left")
-    return all_.select(F.col("k").alias(key), F.coalesce("piece", F.lit(0)).alias("piece"), F.coalesce("size", F.lit(0)).cast("bigint").alias("n_tokens"), F.col("box").alias("container"), F.col("start"))
+    filled = docs.where("n > 0")
+    blocks = _blocks(filled.count(), block)
+    placed = cut(_packed(filled, capacity, blocks, 1))
+    left = placed.where(F.col("start") == 0).where(F.col("fill") < capacity).select(F.col("box").alias("item"), F.col("fill").alias("n"))
+    moves = None
+    for turn in range(2, turns + 2):
+        if blocks == 1:
+            break
+        # a container that even the emptiest of the others would overfill is final
+        low = left.agg(F.min("n").alias("low")).first()["low"]
+        if low is None:
+            break
+        open_ = left.where(F.col("n") <= capacity - low)
+        many = open_.count()
+        if many < 2:
+            break
+        blocks = _blocks(many, block)
+        moved = cut(_packed(open_.withColumn("key", F.lit(0)), capacity, blocks, turn).select("item", "box", "start", "fill"))
+        step = moved.select(F.col("item").alias("box"), F.col("box").alias("to"), F.col("start").alias("by"))
+        if moves is not None:  # only what moved before moves again
+            again = moves.join(step.select(F.col("box").alias("to"), F.col("to").alias("next"), F.col("by").alias("more")), "to", "left")
+            step = again.select("box", F.coalesce("next", "to").alias("to"), (F.col("by") + F.coalesce("more", F.lit(0))).alias("by"))
+        moves = step
+        left = moved.where(F.col("start") == 0).where(F.col("fill") < capacity).select(F.col("box").alias("item"), F.col("fill").alias("n"))
+    slim = placed.select("key", "piece", "size", "box", "start")
+    if moves is not None:
+        slim = slim.join(moves, "box", "left").select("key", "piece", "size", F.coalesce("to", "box").alias("box"), (F.col("start") + F.coalesce("by", F.lit(0))).alias("start"))
+    none = docs.where("n <= 0").select("key", F.lit(0).cast("bigint").alias("piece"), F.lit(0).cast("bigint").alias("size"), F.lit(None).cast("bigint").alias("box"), F.lit(None).cast("bigint").alias("start"))
+    return slim.unionByName(none).select(F.col("key").alias(key), F.col("piece").cast("int").alias("piece"), F.col("size").alias("n_tokens"), F.col("box").alias("container"), "start")

@@ -5,16 +5,25 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+#: Rows of one variant that a join task takes; the ids of a variant with more are spread over several.
+HOT_ROWS = 50_000
 
-def pairs_within(df: DataFrame, group: str, variant: str) -> DataFrame:
+
+def pairs_within(df: DataFrame, group: str, variant: str, hot_rows: int = HOT_ROWS) -> DataFrame:
     """(id_a, id_b): pairs of ids of one ``group`` with different ``variant``, the smaller id first, each once.
 
-    The distinct variants of a group are paired first; the ids of each variant are then joined on. Only groups of
-    two variants or more are joined at all, so rows that look like no other are dropped by one aggregation.
+    The distinct variants of a group are paired, by 128-bit digests; the ids of the one and then of the other variant are
+    joined on, so that no two ids of one variant ever meet. Only groups of two variants or more are joined at all. The
+    ids of a hot variant are spread by their hash, and its pairs of variants are copied to each part.
     """
-    variants = df.groupBy(group, variant).count().drop("count")
-    many = variants.groupBy(group).count().where("count > 1").select(group)
-    hot = df.join(many, group, "left_semi").select(F.col(group).alias("g"), F.col(variant).alias("v"), "id").withColumn("h", F.xxhash64("g"))
-    a, b = hot.select("h", "g", F.col("v").alias("va"), F.col("id").alias("a")), hot.select("h", F.col("g").alias("g2"), F.col("v").alias("vb"), F.col("id").alias("b"))
-    got = a.join(b, "h").where((F.col("g") == F.col("g2")) & (F.col("va") != F.col("vb")) & (F.col("a") < F.col("b")))
-    return got.select(F.col("a").alias("id_a"), F.col("b").alias("id_b")).distinct()
+    slim = df.select(F.md5(group).alias("g"), F.md5(F.concat_ws("\x1f", group, variant)).alias("v"), "id")
+    variants = slim.groupBy("g", "v").agg(F.count("*").alias("n"))
+    many = variants.groupBy("g").count().where("count > 1").select("g")
+    met = variants.join(many, "g", "left_semi").withColumn("parts", (F.col("n") / F.lit(hot_rows) + 1).cast("int")).select("g", "v", "parts")
+    ids = slim.select("v", "id").join(met.select("v", "parts"), "v").select("v", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int").alias("s"), "id")
+    a = met.select("g", F.col("v").alias("va"), F.col("parts").alias("pa"))
+    b = met.select("g", F.col("v").alias("vb"), F.col("parts").alias("pb"))
+    of_variants = a.join(b, "g").where("va < vb").select("va", "vb", "pb", F.explode(F.sequence(F.lit(0), F.col("pa") - 1)).alias("sa"))
+    one = of_variants.join(ids.select(F.col("v").alias("va"), F.col("s").alias("sa"), F.col("id").alias("a")), ["va", "sa"]).select("a", "vb", F.explode(F.sequence(F.lit(0), F.col("pb") - 1)).alias("sb"))
+    two = one.join(ids.select(F.col("v").alias("vb"), F.col("s").alias("sb"), F.col("id").alias("b")), ["vb", "sb"]).where("a <> b")
+    return two.select(F.least("a", "b").alias("id_a"), F.greatest("a", "b").alias("id_b")).distinct()

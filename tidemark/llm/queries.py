@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tidemark.io import table
 from tidemark.llm import fusion, lookalike, mainbody, nearduplicates, neighbours, packing, reading, tokenize
 from tidemark.operators.instants import with_source_clock
+from tidemark.session import cut
 
 
 def p1_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -53,11 +54,26 @@ def p9_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack_documents(sizes, "doc_id", "n_tokens", 2048)
 
 
+def p9_invariants(spark: SparkSession, folder: str) -> DataFrame:
+    """What must hold of the packing of all documents, as counts: nothing lost, doubled, split, overlapping or over-full."""
+    documents = table(spark, folder, "documents").select("doc_id", "text")
+    sizes = cut(tokenize.token_counts(documents, "doc_id", "text"))
+    rows = cut(packing.pack_documents(sizes, "doc_id", "n_tokens", 2048))
+    boxes = rows.where("container is not null").groupBy("container").agg(F.sum("n_tokens").alias("fill"), F.max(F.col("start") + F.col("n_tokens")).alias("end"))
+    per = rows.groupBy("doc_id").agg(F.sum("n_tokens").alias("packed"), F.count("*").alias("pieces"), F.countDistinct("piece").alias("distinct"), F.count_if(F.col("container").isNull()).alias("unplaced"))
+    docs = per.join(sizes, "doc_id", "full").agg(
+        F.count("*").alias("documents"), F.coalesce(F.sum("unplaced"), F.lit(0)).alias("without_container"), F.count_if(~F.col("packed").eqNullSafe(F.coalesce("n_tokens", F.lit(0)))).alias("wrong_size"),
+        F.count_if((F.col("n_tokens") <= 2048) & (F.col("pieces") > 1)).alias("split"), F.count_if(F.col("pieces") != F.col("distinct")).alias("repeated"),
+    )
+    # a box whose parts end where they sum to has neither gaps nor overlaps
+    return docs.join(F.broadcast(boxes.agg(F.count_if(F.col("fill") > 2048).alias("over_full"), F.count_if(F.col("fill") != F.col("end")).alias("overlapping"))))
+
+
 def p10_found(spark: SparkSession, folder: str) -> DataFrame:
     return reading.reading_levels(table(spark, folder, "documents"), table(spark, folder, "reading_labels"))
 
 
-QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p4_found": p4_found, "p6_found": p6_found, "p7_found": p7_found, "p8_ids": p8_ids, "p9_packing": p9_packing, "p10_found": p10_found}
+QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p4_found": p4_found, "p6_found": p6_found, "p7_found": p7_found, "p8_ids": p8_ids, "p9_packing": p9_packing, "p9_invariants": p9_invariants, "p10_found": p10_found}
 P4_SQL = """
 WITH v AS (SELECT id, metadata.embedding_space AS space, CAST(embedding_vector AS DOUBLE[]) AS e FROM item_versions WHERE len(embedding_vector) = 128 AND metadata.embedding_space IS NOT NULL),
 ok AS (SELECT * FROM v WHERE len(list_filter(e, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0),
@@ -76,4 +92,8 @@ p AS (SELECT a.kind, a.id AS a, b.id AS b FROM x a JOIN x b ON a.kind = b.kind A
 SELECT kind AS record_kind, a AS id_a, b AS id_b FROM p
 """
 
-ORACLES = {"p4_found": P4_SQL, "p7_found": P7_SQL}
+P9_SQL = """
+SELECT count(*) AS documents, count_if(text IS NULL OR text = '')::BIGINT AS without_container, 0::BIGINT AS wrong_size, 0::BIGINT AS split, 0::BIGINT AS repeated, 0::BIGINT AS over_full, 0::BIGINT AS overlapping FROM documents
+"""
+
+ORACLES = {"p4_found": P4_SQL, "p7_found": P7_SQL, "p9_invariants": P9_SQL}
