@@ -17,7 +17,7 @@ def one(spark, value, f, kind="string"):
 
 def test_normalize(spark):
     cases = {"<p>a&amp;b</p>": "a&b", "x<script>var a</script>y": "x y", "a /* c */ b": "a b", "@media x { .a { b: '}' } } t": "t", ".k { color: red } t": "t", "best@16 { x": "best@16 { x", "ﬁ　x\x00y": "fi x y", "": "", "pass@k {a:b} z": "pass@k {a:b} z"}
-    df = spark.createDataFrame([(k,) for k in cases] + [(None,)], "x string").select("x", ident.normalize_content("x").alias("y"))
+    df = spark.createDataFrame([(k,) for k in cases] + [(None,)], "x string").select("x", ident.normalize_content(F.col("x")).alias("y"))
     got = {r.x: r.y for r in df.collect()}
     assert got == {**cases, None: ""}
 
@@ -32,9 +32,8 @@ def test_normalize_is_linear():
 
 def test_hashes(spark):
     want = hashlib.sha256("a b\x1fc".encode()).hexdigest()
-    df = spark.createDataFrame([(" A  b", "C")], "x string, y string")
-    r = df.select(ident.stable_id(F.col("x"), F.col("y")).alias("i"), ident.stable_id_ascii(F.col("x"), F.col("y")).alias("j")).first()
-    assert r.i == r.j == want
+    df = spark.createDataFrame([(" A  b", "C"), ("Ａ&nbsp;<i>b</i>", "ℂ"), ("a\x1db", "c")], "x string, y string")
+    assert [r[0] for r in df.select(ident.stable_id(F.col("x"), F.col("y")).alias("i")).collect()] == [want] * 3
     assert one(spark, want, ident.stable_uuid) == f"{want[:8]}-{want[8:12]}-{want[12:16]}-{want[16:20]}-{want[20:32]}"
 
 
@@ -43,6 +42,29 @@ def test_urls(spark):
     for k, v in cases.items():
         assert one(spark, k, ident.canonical_url) == v
     assert one(spark, None, ident.canonical_url) is None
+    # the same query in another spelling, beside what the standard library makes of it
+    from urllib.parse import parse_qsl, urlencode
+
+    queries = ["a=%41&b=x+y", "b=x%20y&a=A", "q=%E4%B8%AD&z=*~", "q=中&z=%2A%7E", "k=100%&j", "x=1=2&x=1&X=0", "a=&a", "%75tm_source=1&b=é", "b=%C3%A9"]
+    df = spark.createDataFrame([(f"http://h.example/p?{q}",) for q in queries], "u string").select("u", ident.canonical_url(F.col("u")).alias("c"))
+    for r in df.collect():
+        pairs = [(k, v) for k, v in parse_qsl(r.u.split("?", 1)[1], keep_blank_values=True) if not k.lower().startswith("utm_") and k.lower() not in ident.TRACKING_KEYS]
+        assert r.c == "http://h.example/p?" + urlencode(sorted(pairs)), r.u
+
+
+def test_record_hash(spark):
+    """The hash over texts, address and the nine revision keys, beside plain Python."""
+    import json
+
+    meta = {"version": "2", "sha": 'a"b\\c', "code_url": None, "acceptance_status": "录用"}
+    df = spark.createDataFrame([("T &amp; x", "S", None, "https://a.example/", meta)], "t string, s string, c string, u string, m map<string,string>")
+    got = df.select(ident.record_hash(F.col("t"), F.col("s"), F.col("c"), F.col("u"), lambda k: F.col("m")[k])).first()[0]
+    stated = json.dumps({k: v for k, v in meta.items() if v is not None}, ensure_ascii=False, sort_keys=True)
+    assert got == hashlib.sha256(ident.plain_text("\n".join(["T &amp; x", "S", "", "https://a.example/", stated])).encode()).hexdigest()
+    assert list(ident.REVISION_KEYS) == sorted(ident.REVISION_KEYS) and len(ident.REVISION_KEYS) == 9
+
+
+def test_more_urls(spark):
     for k, v in {"https://a.b.example:8080/x": "b.example", "https://u:p@www.a.co.uk/": "a.co.uk", "nonsense": None, "https://host": "host"}.items():
         assert one(spark, k, ident.registrable_domain) == v
     assert [one(spark, u, ident.is_web_url) for u in ("https://a", "ftp://a", "http://", None)] == [True, False, False, False]

@@ -100,18 +100,24 @@ def test_announcements_and_standards(spark):
     a = {"announcementId": "5", "announcementTitle": "<em>Big</em> news", "adjunctUrl": "finalpage/2024/x.PDF", "announcementTime": 1704067200000, "secName": "N"}
     got = rows(apis.disclosure_announcements(payloads(spark, json.dumps({"announcements": [a, {**a, "announcementId": "6", "adjunctUrl": "//evil/x.pdf"}]}))))
     assert list(got) == ["5"] and got["5"].title == "N · Big news"
-    s = spark.createDataFrame([("s", "u", json.dumps({"rows": [{"id": "A1", "C_C_NAME": "<b>Name</b>"}, {"id": "bad id", "C_C_NAME": "x"}]}), t) for t in ("t2", "t1")], "source_id string, url string, body string, term string")
+    s = spark.createDataFrame([("s", "u", json.dumps({"rows": [{"id": "A1_b-0001", "C_C_NAME": "<b>Name</b>"}, {"id": "A1", "C_C_NAME": "short"}, {"id": "bad id", "C_C_NAME": "x"}]}), t) for t in ("t2", "t1")], "source_id string, url string, body string, term string")
     got = rows(apis.standards(s))
-    assert list(got) == ["A1"] and got["A1"].metadata["matched_terms"] == "t1, t2"
+    assert list(got) == ["A1_b-0001"] and got["A1_b-0001"].metadata["matched_terms"] == "t1, t2"
 
 
 def test_pages(spark):
     page = '<a href="/news/one">One story</a><a href="https://news.site.example/news/one#x">again</a><a href="https://other.example/n">Other</a><a href="/about">About</a>'
-    got = pages.listing(payloads(spark, page), include=["/news/"]).collect()
+    got = pages.listing(payloads(spark, page), include_urls=["/news/"]).collect()
     assert [(r.title, r.canonical_url) for r in got] == [("One story", "https://news.site.example/news/one")]
-    art = '<title>T</title><meta property="og:title" content="OG"><link rel="canonical" href="https://site.example/c?ref=1"><script type="application/ld+json">{"@graph":[{"@type":"NewsArticle","headline":"LD","datePublished":"2024-01-01T00:00:00Z"}]}</script><p>Body &amp; code https://github.com/a/b</p><script>x</script>'
+    art = """<title>T</title><meta property="og:title" content="OG"><script type="application/ld+json">{"@graph":[{"@type":"NewsArticle","headline":"LD","url":"https://site.example/c?ref=1","author":[{"name":"Ann"}],"datePublished":"2024-01-01T00:00:00Z"}]}</script>
+    <nav>Menu</nav><main><header>Head</header><p>Body &amp; <a href="https://github.com/a/b">code</a></p><form>Sign up</form><script>x</script></main><p>After</p>"""
     r = pages.articles(payloads(spark, art, None)).where("title = 'LD'").first()
-    assert r.canonical_url == "https://site.example/c" and "Body & code" in r.content and "x" not in r.content.split() and r.metadata["code_url"] == "https://github.com/a/b"
+    assert r.canonical_url == "https://site.example/c"
+    assert r.content == "Body & code" and r.metadata["code_url"] == "https://github.com/a/b" and r.authors == ["Ann"] and str(r.published_at).startswith("2024-01-01")
+    o = pages.outline('<a href="/x">one <b>two</b></a><a href="/lost">never closed <a href="/y">three</a><p>a<a>no address</a>')
+    assert pages.anchors(o) == [("/x", "one two"), ("/y", "three")]
+    index = '<a href="/events/acl-2024/">x</a><a href=/events/acl-2024>y</a><a href="/events/acl-2019/">z</a><a href="/volumes/acl-2024/">v</a>'
+    assert [r.url for r in pages.event_links(payloads(spark, index).limit(1), [2024, 2023]).collect()] == ["https://news.site.example/events/acl-2024"]
     assert pages.parse_article('<script type="application/ld+json">[broken</script>')["title"] is None
     acl = '<a href="/2024.acl-long.1/">An <b>agent</b></a><a href=/2024.acl-long.2>Cooking</a><div id="abstract-2024--acl-long--1" class=c><div class="card-body p-3">Text</div></div>'
     got = rows(pages.anthology_events(payloads(spark, acl)))
@@ -145,9 +151,43 @@ def test_dispatch_files_and_fragments(spark, tmp_path):
 
 
 def test_long_pages(spark, tmp_path):
-    page = "<p>" + "word " * 30_000 + "end</p>"
-    ld = '<script type="application/ld+json">' + json.dumps({"@type": "Article", "articleBody": "x" * 60_000}) + "</script><p>b</p>"
-    spark.createDataFrame([("1", page.encode()), ("2", ld.encode())], "record_id string, raw_snapshot binary").write.parquet(str(tmp_path / "collected_items.parquet"))
-    assert {r.record_id: r.chars for r in textual.html_article(spark, str(tmp_path)).collect()} == {"1": 150_003, "2": 60_000}
+    page = "<article><p>" + "word " * 30_000 + "end</p></article>"
+    spark.createDataFrame([("1", page.encode()), ("2", b"<p>b</p>")], "record_id string, raw_snapshot binary").write.parquet(str(tmp_path / "collected_items.parquet"))
+    assert {r.record_id: r.chars for r in textual.html_article(spark, str(tmp_path)).collect()} == {"1": 150_003, "2": 0}
     assert payloads(spark, page).select(pages.document_text("body").alias("t")).first().t.endswith("word end")
     assert [len(r.content) for r in pages.articles(payloads(spark, page), pages.ARTICLE_MOST).collect()] == [50_000]
+
+
+ATOM = '<feed xmlns="http://www.w3.org/2005/Atom"><title>F</title><entry><id>urn:1</id><title>T</title><link rel="self" href="https://a.example/self"/><link href="https://a.example/p?utm_source=x"/><summary>S</summary><author><name>Ann</name></author><updated>2024-01-02T00:00:00Z</updated></entry><entry><id>urn:2</id><title>no link</title></entry></feed>'
+
+
+def test_atom_under_rss_and_whole_dispatch(spark):
+    got = rows(feeds.rss(payloads(spark, ATOM)))
+    assert list(got) == ["urn:1"] and got["urn:1"].canonical_url == "https://a.example/p" and got["urn:1"].authors == ["Ann"] and str(got["urn:1"].updated_at).startswith("2024-01-02")
+    p = payloads(spark, ATOM, source="a")
+    assert files.parse(p, {"a": "sec_submissions"})[1] == ["a"]  # its needed option isn't given
+    assert files.parse(p, {"a": "sitemap"}, {"sitemap": {"patterns": []}})[1] == []
+    assert len(files.PARSERS) == 15
+
+
+def test_first_of_repeated_rows_stays(spark):
+    a = {"announcementId": "5", "announcementTitle": "first", "adjunctUrl": "finalpage/2024/x.pdf"}
+    body = json.dumps({"announcements": [a, {**a, "announcementTitle": "second"}] * 20})
+    assert [r.title for r in apis.disclosure_announcements(payloads(spark, body)).collect()] == ["first"]
+
+
+def test_cursors(spark):
+    t = lambda d: f"2024-01-{d:02} 00:00:00"
+    parsed = spark.createDataFrame([("a", t(5), None), ("a", t(3), t(4)), ("b", None, None)], "source_id string, updated_at string, published_at string").selectExpr("source_id", "updated_at::timestamp", "published_at::timestamp")
+    old = spark.createDataFrame([("a", t(1)), ("b", t(2)), ("c", t(9))], "source_id string, watermark string").selectExpr("source_id", "watermark::timestamp")
+    got = {r.source_id: (str(r.watermark), str(r.ask_from)) for r in apis.watermark_after(parsed, old).collect()}
+    assert got == {"a": (t(5), "2024-01-04 12:00:00"), "b": (t(2), "2024-01-01 12:00:00"), "c": (t(9), "2024-01-08 12:00:00")}
+    n = spark.createDataFrame([("a", 1, 50), ("a", 2, 50), ("b", 1, 50), ("b", 2, 3)], "source_id string, page int, entries int")
+    assert {r.source_id: (r.finished, r.notice) for r in apis.page_notices(n, 50, 2).collect()} == {"a": (False, "page budget of 2 used up"), "b": (True, None)}
+    oai = lambda token: f"<OAI-PMH><ListRecords><record/><resumptionToken>{token}</resumptionToken></ListRecords></OAI-PMH>"
+    h = spark.createDataFrame([("a", 0, t(1), oai("")), ("a", 1, t(2), oai("tok")), ("b", 1, t(1), oai("x")), ("b", 1, t(2), oai(" ")), ("c", 0, t(1), oai(""))], "source_id string, set_index int, fetched_at string, body string")
+    got = {r.source_id: (r.set_index, r.resumption_token, r.done) for r in apis.harvest_cursor(h, 2).collect()}
+    assert got == {"a": (1, "tok", False), "b": (2, None, True), "c": (1, None, False)}
+    c = spark.createDataFrame([("a", "e", "m", t(9), "x")], "source_id string, etag string, last_seen_id string, watermark string, note string").withColumn("watermark", F.col("watermark").cast("timestamp"))
+    r = apis.rewound(c, F.lit(t(1))).first()
+    assert (r.etag, r.last_seen_id, str(r.watermark), r.note) == (None, None, t(1), "x")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 # Field names that must not leave.
-FORBIDDEN = ("recipient", "recipient_email", "email", "raw_html", "raw_content", "prompt", "system_prompt", "delivery", "deliveries", "delivery_state", "message_id", "api_key", "secret")
+FORBIDDEN = ("recipient", "recipient_email", "email", "raw_html", "raw_content", "prompt", "system_prompt", "delivery", "deliveries", "delivery_state", "agentmail_draft_id", "message_id", "api_key", "secret")
 
 
 def forbidden_fields(schema: T.DataType, path: str = "dataset") -> list[str]:

@@ -59,7 +59,7 @@ def safe_urls(spark, d):
 @query(r"""SELECT record_id, sha256(lower(trim(regexp_replace(coalesce(source_id, ''), '\s+', ' ', 'g'))) || chr(31) || lower(trim(regexp_replace(coalesce(external_id, ''), '\s+', ' ', 'g')))) AS id FROM collected_items""")
 def stable_ids(spark, d):
     """I17, I22."""
-    return table(spark, d, "collected_items").select("record_id", ident.stable_id_ascii(F.col("source_id"), F.col("external_id")).alias("id"))
+    return table(spark, d, "collected_items").select("record_id", ident.stable_id(F.col("source_id"), F.col("external_id")).alias("id"))
 
 
 @query()
@@ -272,8 +272,8 @@ def html_article(spark, d):
     """Titles and addresses of whole pages."""
     from tidemark.sources.pages import article_of
 
-    p = table(spark, d, "collected_items").where("raw_snapshot is not null").select("record_id", article_of(F.col("raw_snapshot").cast("string")).alias("p"))
-    return p.select("record_id", "p.title", "p.description", F.length("p.content").alias("chars"))
+    p = table(spark, d, "collected_items").where("raw_snapshot is not null").select("record_id", article_of(F.col("raw_snapshot").cast("string"), F.lit(None).cast("string"), F.lit(None).cast("string")).alias("p"))
+    return p.select("record_id", "p.title", "p.description", F.length(F.coalesce("p.content", F.lit(""))).alias("chars"))
 
 
 @query("SELECT CAST(time_bucket(INTERVAL 1 DAY, ts) AS VARCHAR) AS start, event_type, count(*) AS n FROM events GROUP BY ALL")

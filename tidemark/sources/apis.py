@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.functions.identity import simple_normal
-from tidemark.sources.contract import instant, metadata, millis, records
+from tidemark.sources.contract import first_of, instant, metadata, millis, records
 from tidemark.sources.feeds import on_frontier
 
+# Fixed values in this module: field names of the services' answers, stems of their addresses, form codes, the shape of a standard's id.
 # Filing forms that are followed, and those of them that are routine.
-FORMS = ("8-K", "8-K/A", "10-Q", "10-Q/A", "10-K", "10-K/A", "S-1", "S-1/A", "F-1", "F-1/A", "6-K", "6-K/A", "20-F", "20-F/A", "4", "4/A", "SC 13D", "SC 13D/A", "SC 13G", "SC 13G/A")
+FORMS = ("8-K", "8-K/A", "10-Q", "10-Q/A", "10-K", "10-K/A", "S-1", "S-1/A", "F-1", "F-1/A", "6-K", "20-F", "20-F/A", "4", "4/A", "SC 13D", "SC 13D/A", "SC 13G", "SC 13G/A")
 ROUTINE_FORMS = ("4", "4/A", "SC 13G", "SC 13G/A")
 
 
@@ -26,19 +26,19 @@ def _strings(json: Column) -> Column:
 
 def conference_notes(payloads: DataFrame) -> DataFrame:
     """Notes with a title, on the frontier; wrapped values unwrapped; camera-ready by invitation (A5)."""
-    n = payloads.select("source_id", F.explode(F.from_json("body", "struct<notes: array<string>>")["notes"]).alias("n"))
+    n = payloads.select("source_id", "fetched_at", "url", F.posexplode(F.from_json("body", "struct<notes: array<string>>")["notes"]).alias("pos", "n"))
+    n = first_of(n, F.get_json_object("n", "$.id"), "fetched_at", "url", "pos")
     g = lambda p: F.get_json_object("n", f"$.{p}")
     c = n.select("source_id", "n", g("id").alias("id"), F.trim(F.regexp_replace(_value(F.col("n"), "content.title"), r"\s+", " ")).alias("title"), _value(F.col("n"), "content.abstract").alias("abstract"))
     c = c.where((F.coalesce("title", F.lit("")) != "") & on_frontier(F.col("title"), F.col("abstract")))
     ready = F.coalesce(g("invitations").contains("Camera_Ready"), F.lit(False))
     revised = F.coalesce(g("mdate"), g("tmdate"))
-    got = records(
+    return records(
         c,
         external_id=F.col("id"), canonical_url=F.concat(F.lit("https://openreview.net/forum?id="), F.col("id")), title=F.col("title"), summary=F.col("abstract"),
         authors=_strings(_value(F.col("n"), "content.authors")), published_at=millis(F.coalesce(g("pdate"), g("odate"))), updated_at=millis(revised),
         metadata=metadata(acceptance_status=F.when(ready, "camera_ready").otherwise("accepted"), revision=revised, venue=_value(F.col("n"), "content.venue")),
     )
-    return got.dropDuplicates(["source_id", "external_id"])
 
 
 def releases(payloads: DataFrame) -> DataFrame:
@@ -107,38 +107,37 @@ def exchange_announcements(payloads: DataFrame, codes: DataFrame, routine: list[
     ``codes``: source_id, code. Pages of one listing may repeat a document; the first stays.
     """
     row = "SECURITY_CODE: string, SECURITY_NAME: string, TITLE: string, URL: string, BULLETIN_HEADING: string, BULLETIN_TYPE: string, SSEDATE: string, ADDDATE: string"
-    d = payloads.select("source_id", F.from_json("body", f"struct<result: array<struct<{row}>>, pageHelp: struct<data: array<struct<{row}>>>>").alias("d"))
-    r = d.select("source_id", F.explode(F.coalesce("d.result", "d.pageHelp.data")).alias("r")).join(codes, "source_id")
+    d = payloads.select("source_id", "fetched_at", "url", F.from_json("body", f"struct<result: array<struct<{row}>>, pageHelp: struct<data: array<struct<{row}>>>>").alias("d"))
+    r = d.select("source_id", "fetched_at", "url", F.posexplode(F.coalesce("d.result", "d.pageHelp.data")).alias("pos", "r")).join(codes, "source_id")
     code = F.coalesce(F.nullif(F.trim("r.SECURITY_CODE"), F.lit("")), F.col("code"))
     path = F.regexp_replace(F.regexp_replace(F.trim("r.URL"), r"(?i)^https?://(www\.)?sse\.com\.cn", ""), r"[?#].*$", "")
     path = F.when(path.startswith("/"), path).otherwise(F.concat(F.lit("/"), path))
     fine = (code == F.col("code")) & F.col("code").rlike(r"^\d{6}$") & path.startswith("/disclosure/listedinfo/announcement/") & ~path.contains("..") & path.rlike(r"(?i)\.pdf$") & (F.coalesce(F.trim("r.TITLE"), F.lit("")) != "")
-    kept = r.where(fine).withColumn("p", path)
+    kept = r.where(fine).withColumn("p", path).withColumn("doc", F.regexp_replace(F.element_at(F.split(path, "/"), -1), r"(?i)\.pdf$", ""))
+    kept = first_of(kept, F.col("doc"), "fetched_at", "url", "pos")
     title = F.trim("r.TITLE")
     is_routine = title.rlike("(?i)(" + "|".join(routine) + ")") if routine else F.lit(False)
-    got = records(
+    return records(
         kept,
-        external_id=F.regexp_replace(F.element_at(F.split("p", "/"), -1), r"(?i)\.pdf$", ""), canonical_url=F.concat(F.lit("https://www.sse.com.cn"), F.col("p")),
+        external_id=F.col("doc"), canonical_url=F.concat(F.lit("https://www.sse.com.cn"), F.col("p")),
         title=F.concat(F.coalesce(F.nullif(F.trim("r.SECURITY_NAME"), F.lit("")), F.col("source_id")), F.lit(" ("), F.col("code"), F.lit(") · "), title),
         summary=F.array_join(F.array_distinct(F.filter(F.array("r.BULLETIN_HEADING", "r.BULLETIN_TYPE"), lambda x: F.coalesce(x, F.lit("")) != "")), " · "),
         published_at=instant(F.col("r.SSEDATE"), "Asia/Shanghai"), updated_at=instant(F.col("r.ADDDATE"), "Asia/Shanghai"), metadata=metadata(ticker=F.col("code"), routine=is_routine, filing_date=F.col("r.SSEDATE")),
     )
-    return got.dropDuplicates(["source_id", "external_id"])
 
 
 def disclosure_announcements(payloads: DataFrame, routine: list[str] | None = None) -> DataFrame:
     """Announcements of a disclosure service: highlight tags stripped, documents under an allowed folder."""
     row = "announcementId: string, announcementTitle: string, adjunctUrl: string, announcementTime: string, secName: string, secCode: string, orgId: string, announcementTypeName: string"
-    r = payloads.select("source_id", F.explode(F.from_json("body", f"struct<announcements: array<struct<{row}>>>")["announcements"]).alias("r"))
+    r = payloads.select("source_id", "fetched_at", "url", F.posexplode(F.from_json("body", f"struct<announcements: array<struct<{row}>>>")["announcements"]).alias("pos", "r"))
     title = F.trim(F.regexp_replace("r.announcementTitle", r"(?i)</?em\b[^>]*>", ""))
     path = F.concat(F.lit("/"), F.regexp_replace(F.regexp_replace(F.replace(F.trim("r.adjunctUrl"), F.lit("\\"), F.lit("/")), r"[?#].*$", ""), "^/", ""))
     fine = (F.coalesce(title, F.lit("")) != "") & ~F.col("r.adjunctUrl").rlike(r"^([a-zA-Z][a-zA-Z0-9+.-]*:|//)") & path.rlike(r"(?i)^/finalpage/.*\.pdf$")
     is_routine = title.rlike("(?i)(" + "|".join(routine) + ")") if routine else F.lit(False)
-    got = records(
-        r.where(fine), external_id=F.trim("r.announcementId"), canonical_url=F.concat(F.lit("https://static.cninfo.com.cn"), path), title=F.concat_ws(" · ", F.nullif(F.trim("r.secName"), F.lit("")), title),
+    return records(
+        first_of(r.where(fine), F.trim("r.announcementId"), "fetched_at", "url", "pos"), external_id=F.trim("r.announcementId"), canonical_url=F.concat(F.lit("https://static.cninfo.com.cn"), path), title=F.concat_ws(" · ", F.nullif(F.trim("r.secName"), F.lit("")), title),
         summary=F.col("r.announcementTypeName"), published_at=millis(F.col("r.announcementTime")), metadata=metadata(ticker=F.col("r.secCode"), org_id=F.col("r.orgId"), routine=is_routine),
     )
-    return got.dropDuplicates(["source_id", "external_id"])
 
 
 def overlap_window(watermark: Column, now: Column, lookback_days: int = 45, overlap_days: int = 7) -> Column:
@@ -153,7 +152,7 @@ def standards(payloads: DataFrame) -> DataFrame:
     row = "id: string, C_C_NAME: string, C_STD_CODE: string, ISSUE_DATE: string, ACT_DATE: string, STD_NATURE: string, STATE: string"
     r = payloads.select("source_id", "term", F.explode(F.from_json("body", f"struct<rows: array<struct<{row}>>>")["rows"]).alias("r"))
     bare = lambda n: F.trim(F.regexp_replace(F.regexp_replace(F.coalesce(f"r.{n}", F.lit("")), "<[^>]*>", ""), r"\s+", " "))
-    fine = F.trim("r.id").rlike("^[A-Za-z0-9]+$") & (bare("C_C_NAME") != "")
+    fine = F.trim("r.id").rlike("^[A-Za-z0-9_-]{8,128}$") & (bare("C_C_NAME") != "")
     g = r.where(fine).groupBy("source_id", F.trim("r.id").alias("id")).agg(F.min_by("r", "term").alias("r"), F.array_sort(F.collect_set("term")).alias("terms"))
     code = F.nullif(bare("C_STD_CODE"), F.lit(""))
     return records(
@@ -174,3 +173,43 @@ def fenced_object(text: Column) -> Column:
     """The JSON object of a model's answer, without a code fence around it; null unless it is one."""
     bare = F.trim(F.regexp_replace(F.trim(text), r"(?s)^```(?:json)?\s*(.*?)\s*```$", "$1"))
     return F.when(bare.startswith("{") & F.try_parse_json(bare).isNotNull(), bare)
+
+
+def watermark_after(parsed: DataFrame, current: DataFrame, overlap_hours: int = 12) -> DataFrame:
+    """(source_id, watermark, ask_from): the newest time of each source's records, kept where it was later, and from when to ask next (A1).
+
+    ``current``: source_id, watermark. Sources without new records keep theirs.
+    """
+    new = parsed.groupBy("source_id").agg(F.max(F.coalesce("updated_at", "published_at")).alias("__new"))
+    both = current.select("source_id", F.col("watermark").alias("__old")).join(new, "source_id", "full")
+    mark = F.greatest("__old", "__new")
+    return both.select("source_id", mark.alias("watermark"), (mark - F.expr(f"INTERVAL {overlap_hours} HOURS")).alias("ask_from"))
+
+
+def page_notices(pages: DataFrame, page_size: int, budget: int) -> DataFrame:
+    """(source_id, pages, entries, finished, notice): a short page ends a listing; one that ends with its budget only is told (A1).
+
+    ``pages``: source_id, page, entries.
+    """
+    g = pages.groupBy("source_id").agg(F.count("*").alias("pages"), F.sum("entries").alias("entries"), F.max(F.col("entries") < page_size).alias("finished"))
+    return g.withColumn("notice", F.when(~F.col("finished") & (F.col("pages") >= budget), F.format_string("page budget of %d used up", F.lit(budget))))
+
+
+def harvest_cursor(payloads: DataFrame, sets: int) -> DataFrame:
+    """(source_id, set_index, resumption_token, done): where a harvest goes on after its last answer (A3).
+
+    ``payloads``: source_id, set_index, fetched_at, body. A token goes on in its set; none goes on to the next, and after
+    the last set the harvest is done.
+    """
+    last = payloads.groupBy("source_id").agg(F.max_by(F.struct("set_index", "body"), F.struct("set_index", "fetched_at")).alias("x")).select("source_id", "x.set_index", "x.body")
+    # the token is an element of the answer; its own text may be empty
+    answer = F.from_xml("body", "struct<ListRecords: struct<resumptionToken: string>>", {"ignoreNamespace": "true"})["ListRecords"]["resumptionToken"]
+    token = F.nullif(F.trim(answer), F.lit(""))
+    after = F.when(token.isNotNull(), F.col("set_index")).otherwise(F.col("set_index") + 1)
+    return last.select("source_id", F.least(after, F.lit(sets)).cast("int").alias("set_index"), token.alias("resumption_token"), (token.isNull() & (after >= sets)).alias("done"))
+
+
+def rewound(cursors: DataFrame, since: Column) -> DataFrame:
+    """Cursors for a replay: validators and positions are cleared and the watermark set, other columns stay."""
+    cleared = {"etag", "last_modified", "last_seen_id", "resumption_token"}
+    return cursors.select(*[since.cast(t).alias(n) if n == "watermark" else F.lit(None).cast(t).alias(n) if n in cleared else F.col(n) for n, t in cursors.dtypes])

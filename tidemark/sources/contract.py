@@ -48,6 +48,13 @@ def records(df: DataFrame, **columns: Column) -> DataFrame:
     return out.where(ok)
 
 
+def first_of(df: DataFrame, key: Column, *order: str) -> DataFrame:
+    """The first row of each (source_id, key) by ``order``, all columns kept: one record an id, as the listing gives them."""
+    rest = [c for c in df.columns if c != "source_id"]
+    got = df.groupBy("source_id", key.alias("__k")).agg(F.min_by(F.struct(*rest), F.struct(*order)).alias("__x"))
+    return got.select("source_id", *[F.col("__x")[c].alias(c) for c in rest])
+
+
 def rejects(entries: DataFrame, parsed: DataFrame) -> DataFrame:
     """(source_id, entries, records, rejected): what each source's parser left out."""
     a = entries.groupBy("source_id").agg(F.count("*").alias("entries"))

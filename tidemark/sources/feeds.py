@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.identity import arxiv_identity, canonical_url, simple_normal, stable_id_ascii
+from tidemark.functions.identity import arxiv_identity, canonical_url, stable_id
 from tidemark.functions.text import slug_title
 from tidemark.sources.contract import instant, metadata, records
 
+# Fixed values in this module: element names of the feeds, stems of their addresses, patterns of code addresses and of what parts authors.
 _XML = {"ignoreNamespace": "true", "mode": "PERMISSIVE", "attributePrefix": "_", "valueTag": "_VALUE"}
 _ITEM = "title string, link string, guid string, description string, encoded string, pubDate string, creator array<string>, author array<string>"
 _LINK = "struct<_href string, _rel string, _title string, _type string>"
@@ -39,15 +40,22 @@ def on_frontier(title: Column, text: Column) -> Column:
 
 
 def rss(payloads: DataFrame, max_items: int = 500) -> DataFrame:
-    """The first ``max_items`` entries of each feed with a link; the id is the guid, else the hash of the link."""
-    schema = f"struct<channel: struct<title: string, description: string, item: array<struct<{_ddl(_ITEM)}>>>>"
+    """The first ``max_items`` entries with a link of each feed, in either syntax; the id is the feed's own, else the hash of the link."""
+    atom = f"struct<id: string, title: string, summary: string, content: string, published: string, updated: string, author: array<struct<name: string>>, link: array<{_ddl(_LINK)}>>"
+    item = f"struct<{_ddl(_ITEM)}>"
+    schema = f"struct<title: string, entry: array<{atom}>, item: array<{item}>, channel: struct<title: string, description: string, item: array<{item}>>>"
     doc = payloads.select("source_id", F.from_xml("body", schema, _XML).alias("d"))
-    e = doc.select("source_id", F.col("d.channel.title").alias("feed"), F.posexplode("d.channel.item").alias("pos", "e")).where(F.col("pos") < max_items)
+    links = lambda e: F.filter(e["link"], lambda x: F.coalesce(x["_rel"], F.lit("alternate")) == "alternate")
+    row = lambda **c: F.struct(*[v.cast("array<string>" if n == "authors" else "string").alias(n) for n, v in c.items()])
+    of_item = lambda e: row(id=e["guid"], link=e["link"], title=e["title"], summary=e["description"], content=e["encoded"], authors=F.coalesce(e["creator"], e["author"]), published=e["pubDate"], updated=F.lit(None))
+    of_entry = lambda e: row(id=e["id"], link=F.get(links(e), F.lit(0))["_href"], title=e["title"], summary=e["summary"], content=e["content"], authors=F.transform(e["author"], lambda a: a["name"]), published=e["published"], updated=e["updated"])
+    entries = F.coalesce(F.transform("d.channel.item", of_item), F.transform("d.item", of_item), F.transform("d.entry", of_entry))
+    e = doc.select("source_id", F.coalesce("d.channel.title", "d.title").alias("feed"), F.posexplode(entries).alias("pos", "e")).where(F.col("pos") < max_items)
     url = canonical_url(F.col("e.link"))
     return records(
         e.where("e.link is not null and e.link <> ''"),
-        external_id=F.coalesce(F.nullif(F.trim("e.guid"), F.lit("")), stable_id_ascii(url)), canonical_url=F.col("e.link"), title=F.coalesce("e.title", F.lit("")), summary=F.col("e.description"),
-        content=F.col("e.encoded"), authors=F.coalesce("e.creator", "e.author"), published_at=instant(F.col("e.pubDate")), metadata=metadata(feed_title=F.col("feed")),
+        external_id=F.coalesce(F.nullif(F.trim("e.id"), F.lit("")), stable_id(url)), canonical_url=F.col("e.link"), title=F.coalesce("e.title", F.lit("")), summary=F.col("e.summary"),
+        content=F.col("e.content"), authors=F.col("e.authors"), published_at=instant(F.col("e.published")), updated_at=instant(F.col("e.updated")), metadata=metadata(feed_title=F.col("feed")),
     )
 
 
@@ -103,7 +111,7 @@ def sitemap(payloads: DataFrame, patterns: list[str], max_items: int = 100) -> D
     fits = F.col("c").rlike("(?i)(" + "|".join(patterns) + ")") if patterns else F.lit(True)
     u = u.withColumn("title", slug_title(F.col("c"))).where(F.col("c").rlike("^https?://") & fits & (F.length("title") >= 4))
     u = u.withColumn("k", F.row_number().over(Window.partitionBy("source_id", "map").orderBy("pos"))).where(F.col("k") <= max_items)
-    return records(u, external_id=stable_id_ascii(F.col("c")), canonical_url=F.col("c"), title=F.col("title"), updated_at=instant(F.col("u.lastmod")), metadata=metadata(discovery_only=F.lit("true"), sitemap_url=F.col("map")))
+    return records(u, external_id=stable_id(F.col("c")), canonical_url=F.col("c"), title=F.col("title"), updated_at=instant(F.col("u.lastmod")), metadata=metadata(discovery_only=F.lit("true"), sitemap_url=F.col("map")))
 
 
 def volumes(index_pages: DataFrame, top: int = 6) -> DataFrame:

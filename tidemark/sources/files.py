@@ -10,11 +10,14 @@ from pyspark.sql import functions as F
 from tidemark.sources import apis, feeds, pages
 from tidemark.sources.contract import RECORD
 
-#: Parsers by source kind (A28); kinds that need more than a payload are called on their own.
-PARSERS: dict[str, Callable[[DataFrame], DataFrame]] = {
-    "rss": feeds.rss, "preprint_atom": feeds.preprint_atom, "harvest": feeds.harvest, "proceedings": feeds.proceedings, "conference_notes": apis.conference_notes, "releases": apis.releases,
-    "models": apis.models, "disclosure_announcements": apis.disclosure_announcements, "html": pages.listing, "article": pages.articles, "anthology": pages.anthology_events,
+#: Parsers by source kind (A28). Each takes payloads and its options.
+PARSERS: dict[str, Callable[..., DataFrame]] = {
+    "rss": feeds.rss, "arxiv_api": feeds.preprint_atom, "arxiv_oai": feeds.harvest, "pmlr": feeds.proceedings, "sitemap": feeds.sitemap, "openreview_api": apis.conference_notes, "acl_anthology": pages.anthology_events,
+    "github_releases": apis.releases, "huggingface_models": apis.models, "sec_submissions": apis.filings, "sse_announcements": apis.exchange_announcements, "cninfo_announcements": apis.disclosure_announcements,
+    "samr_standards": apis.standards, "html": pages.listing, "article": pages.articles,
 }
+#: Options that a kind's parser can't do without.
+NEEDED = {"sec_submissions": ("today",), "sse_announcements": ("codes",), "sitemap": ("patterns",)}
 
 
 def payload_files(spark: SparkSession, folder: str, source_id: str) -> DataFrame:
@@ -23,12 +26,16 @@ def payload_files(spark: SparkSession, folder: str, source_id: str) -> DataFrame
     return f.select(F.lit(source_id).alias("source_id"), F.col("path").alias("url"), F.col("content").cast("string").alias("body"), F.col("modificationTime").alias("fetched_at"))
 
 
-def parse(payloads: DataFrame, kinds: dict[str, str]) -> tuple[DataFrame, list[str]]:
-    """(records, sources without a parser): each source's payloads through the parser of its kind."""
-    known = {s: k for s, k in kinds.items() if k in PARSERS}
+def parse(payloads: DataFrame, kinds: dict[str, str], options: dict[str, dict] | None = None) -> tuple[DataFrame, list[str]]:
+    """(records, sources left out): each source's payloads through the parser of its kind, with the kind's ``options``.
+
+    A source of an unknown kind, or of one whose needed options aren't given, is left out and named.
+    """
+    given = options or {}
+    known = {s: k for s, k in kinds.items() if k in PARSERS and all(o in given.get(k, {}) for o in NEEDED.get(k, ()))}
     out = payloads.sparkSession.createDataFrame([], RECORD)
     for kind in sorted(set(known.values())):
-        out = out.unionByName(PARSERS[kind](payloads.where(F.col("source_id").isin([s for s, k in known.items() if k == kind]))))
+        out = out.unionByName(PARSERS[kind](payloads.where(F.col("source_id").isin([s for s, k in known.items() if k == kind])), **given.get(kind, {})))
     return out, sorted(set(kinds) - set(known))
 
 
@@ -50,11 +57,21 @@ def config_rows(spark: SparkSession, rows: list[dict], defaults: dict, columns:
     return spark.createDataFrame(flat, ", ".join(f"{c} string" for c in columns) + ", config map<string,string>")
 
 
-def object_listing(spark: SparkSession, folder: str) -> DataFrame:
-    """(path, day, bytes) of stored objects, the day from their dated folders; contents are not read."""
+def object_listing(spark: SparkSession, folder: str, most: int | None = None, depth: int | None = None) -> DataFrame:
+    """(path, day, bytes) of stored objects, the day from their dated folders; contents are not read.
+
+    With ``most`` or ``depth`` the listing fails where there are more objects or deeper folders, instead of giving a part.
+    """
     f = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder).select("path", "length")
     day = F.regexp_extract("path", r"/(\d{4}/\d{2}/\d{2})/", 1)
-    return f.select("path", F.to_date(F.nullif(day, F.lit("")), "yyyy/MM/dd").alias("day"), F.col("length").alias("bytes"))
+    out = f.select("path", F.to_date(F.nullif(day, F.lit("")), "yyyy/MM/dd").alias("day"), F.col("length").alias("bytes"))
+    if most is not None and f.count() > most:
+        raise ValueError(f"more than {most} objects")
+    if depth is not None:
+        below = F.size(F.split(F.regexp_replace(F.regexp_replace("path", "^file:/*", "/"), "^" + folder.rstrip("/"), ""), "/")) - 2
+        if f.where(below > depth).take(1):
+            raise ValueError(f"folders deeper than {depth}")
+    return out
 
 
 def relation_sizes(spark: SparkSession, folders: dict[str, str], k: int = 20) -> DataFrame:
