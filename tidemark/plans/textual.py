@@ -30,9 +30,13 @@ def query(sql: str | None = None):
     return mark
 
 
-_URL = r"""SELECT {k}, CASE WHEN u IS NULL THEN NULL ELSE coalesce(nullif(lower(regexp_extract(u, '^([a-zA-Z][a-zA-Z0-9+.-]*):', 1)), ''), 'https') || '://' || lower(regexp_extract(u, '^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?(?://([^/?#]*))?', 1)) || CASE WHEN p = '/' THEN p ELSE regexp_replace(p, '/+$', '') END || CASE WHEN len(q) > 0 THEN '?' || list_aggregate(list_sort(list_transform(q, lambda x: CASE WHEN contains(x, '=') THEN x ELSE x || '=' END)), 'string_agg', '&') ELSE '' END END AS url
-FROM (SELECT {k}, u, regexp_replace(regexp_extract(u, '^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?(?://[^/?#]*)?([^?#]*)', 1), '/{{2,}}', '/', 'g') AS p,
-list_filter(string_split(regexp_extract(u, '^[^?#]*\?([^#]*)', 1), '&'), lambda x: x <> '' AND NOT starts_with(lower(split_part(x, '=', 1)), 'utm_') AND lower(split_part(x, '=', 1)) NOT IN ('fbclid', 'gclid', 'mc_cid', 'mc_eid', 'ref', 'source')) AS q FROM (SELECT {k}, trim({c}) AS u FROM {t}))"""
+_URL = r"""WITH u AS (SELECT {k}, trim({c}) AS u FROM {t}),
+x AS (SELECT {k}, u, coalesce(nullif(lower(regexp_extract(u, '^([a-zA-Z][a-zA-Z0-9+.-]*):', 1)), ''), 'https') AS s, lower(regexp_extract(u, '^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?(?://([^/?#]*))?', 1)) AS h,
+regexp_replace(regexp_extract(u, '^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?(?://[^/?#]*)?([^?#]*)', 1), '/{{2,}}', '/', 'g') AS p, list_filter(string_split(regexp_extract(u, '^[^?#]*\?([^#]*)', 1), '&'), lambda x: x <> '') AS q FROM u),
+y AS (SELECT *, CASE WHEN p = '/' THEN p ELSE regexp_replace(p, '/+$', '') END AS path, list_sort(list_filter(list_transform(q, lambda x: {{'k': url_decode(replace(split_part(x, '=', 1), '+', ' ')), 'v': CASE WHEN contains(x, '=') THEN url_decode(replace(substr(x, strpos(x, '=') + 1), '+', ' ')) ELSE '' END}}),
+lambda y: NOT starts_with(lower(y.k), 'utm_') AND lower(y.k) NOT IN ('fbclid', 'gclid', 'mc_cid', 'mc_eid', 'ref', 'source'))) AS pairs FROM x)
+SELECT {k}, CASE WHEN u IS NULL THEN NULL ELSE s || CASE WHEN h <> '' OR (s IN ('http', 'https', 'ftp', 'sftp', 'file', 'ws', 'wss', 'git', 'svn', 'rsync') AND (path = '' OR starts_with(path, '/'))) THEN '://' ELSE ':' END || h || path
+|| CASE WHEN len(pairs) > 0 THEN '?' || list_aggregate(list_transform(pairs, lambda y: replace(url_encode(y.k), '%20', '+') || '=' || replace(url_encode(y.v), '%20', '+')), 'string_agg', '&') ELSE '' END END AS url FROM y"""
 
 
 @query(_URL.format(k="record_id", c="canonical_url", t="collected_items"))
