@@ -54,9 +54,29 @@ def test_neighbours_edges(spark):
 
 
 def test_rotation_is_orthogonal():
-    r = neighbours.learn_rotation(np.random.RandomState(0).randn(500, 128))
+    r = neighbours.learn_rotation(np.random.RandomState(0).randn(500, 128), 192)
     assert r.shape == (128, 192) and np.allclose(r[:, :128].T @ r[:, :128], np.eye(128), atol=1e-8)
-    assert neighbours.learn_rotation(np.zeros((0, 128))).shape == (128, 192)
+    assert neighbours.learn_rotation(np.zeros((0, 128)), 192).shape == (128, 192)
+
+
+def test_plan_follows_the_size():
+    small, large = neighbours.plan(20_000, 0.8), neighbours.plan(10_000_000, 0.8)
+    assert (small.width, large.width) == (15, 24) and large.parts > small.parts
+    assert small.radius > small.width * small.parts * 0.205 and neighbours.plan(0, 0.8).width == 10
+
+
+def test_codes_one_bit_apart_meet_from_one_side():
+    p = neighbours.Plan(6, 2, 12)
+    rng = np.random.RandomState(1)
+    bits = rng.rand(40, 12) > 0.5
+    own, more, count = neighbours.bucket_keys(bits, np.zeros(40, np.int64), p)
+    looks = [set(x.tolist()) for x in np.split(more, np.cumsum(count)[:-1])]
+    for i in range(40):
+        for j in range(40):
+            d = (bits[i].reshape(2, 6) != bits[j].reshape(2, 6)).sum(axis=1)
+            for t in range(2):
+                assert (own[i, t] == own[j, t]) == (d[t] == 0)
+                assert ((own[j, t] in looks[i]) + (own[i, t] in looks[j])) == (d[t] == 1)
 
 
 # --- fusion
@@ -111,6 +131,22 @@ def test_copied_votes_count_less(spark):
     assert got[1] > got[2]
 
 
+def test_the_greatest_posterior_survives(spark):
+    """Between values of one worth and one time the votes decide, and copied ones count less; worth and time come before."""
+    rng = random.Random(3)
+    rows = []
+    for g in range(60):
+        for s in ("a", "b", "c", "d"):
+            rows.append((f"g{g}", f"{s}{g}", s, 1, "f", hash((g, f"t{g}" if rng.random() < 0.85 else f"w{s}{g}")), 1))
+        rows += [(f"g{g}", f"{s}{g}", s, 1, "f", hash((g, "copied")), 1) for s in ("x", "y", "z")]
+    rows += [("q", f"{s}q", s, 5, "f", v, 1) for s, v in (("a", 1), ("b", 1), ("x", 2), ("y", 2), ("z", 2))]
+    rows += [("time", "aq", "a", 5, "f", 1, 1), ("time", "bq", "b", 5, "f", 1, 1), ("time", "xq", "x", 6, "f", 2, 1)]
+    rows += [("worth", "aq", "a", 1 << 60, "f", 1, 1), ("worth", "xq", "x", None, "f", 2, 2)]
+    made = spark.createDataFrame(rows, "grp string, key string, source string, seen bigint, field string, value bigint, worth int")
+    got = {r.grp: r.key for r in fusion.survivors(made).where("grp in ('q', 'time', 'worth')").collect()}
+    assert got == {"q": "aq", "time": "xq", "worth": "xq"}
+
+
 # --- near-duplicates
 
 HOW = {"item": ("word", 3, 10), "event": ("character", 4, 0)}
@@ -139,6 +175,7 @@ def test_near_duplicates_against_brute_force(spark):
     got = {tuple(r) for r in nearduplicates.near_duplicates(df, HOW, 0.5).collect()}
     want = {(a[0], a[1], b[1]) for a in rows for b in rows if a[0] == b[0] and a[1] < b[1] and (a[2] is None or a[2] != b[2]) and jaccard(a[3], b[3], a[0]) >= 0.5}
     assert len(want) > 50 and got <= want and len(got) >= 0.98 * len(want)
+    assert {tuple(r) for r in nearduplicates.near_duplicates(df, HOW, 0.5, exact=True).collect()} == want
     sure = {(k, a, b) for k, a, b in want for x in [dict(((r[0], r[1]), r[3]) for r in rows)] if jaccard(x[k, a], x[k, b], k) >= 0.62}
     assert sure <= got
 
