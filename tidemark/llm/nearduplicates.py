@@ -1,15 +1,16 @@
-"""Near-duplicate texts: segment-popcount embedding, a join of grid cells, a Manhattan lower bound, exact verification.
+"""Near-duplicate texts: MinHash bands for candidates, segment popcounts as a lower bound, exact verification.
 
 A text's shingles are hashed to bits; the bits are cut into segments, and the counts per segment embed the text. The
 Manhattan distance of two embeddings never exceeds the size of the symmetric difference of the shingle sets, and two
 sets with a Jaccard similarity of t differ in at most (1 - t) / (1 + t) of their summed sizes: pairs beyond that are
 dropped without reading their texts.
 
-A grid over whole embeddings can't find pairs at a similarity of 0.5: they may differ in a third of all counts, and so
-do unrelated texts once segments are few enough to enumerate cells. The cells joined here are therefore those of
-min-wise projections: each of ``BANDS`` cells is given by the ``ROWS`` occupied segments (of 2**64) that come first in
-an order of their own. A pair of similarity s shares a cell with probability 1 - (1 - s**ROWS)**BANDS: 0.984 at 0.5,
-0.9998 at 0.6. What the bound leaves is verified on the texts' whole shingle sets.
+A grid over the embeddings can't give the candidates at a similarity of 0.5: pairs may differ in a third of all counts,
+and so do unrelated texts once segments are few enough to enumerate cells. Candidates are pairs that share a band of
+their MinHash signatures, ``BANDS`` bands of ``ROWS`` least values: a pair of similarity s shares one with probability
+1 - (1 - s**ROWS)**BANDS, 0.984 at 0.5 and 0.9998 at 0.6. With ``exact`` candidates are instead pairs that share a
+shingle of their prefixes (the n - ceil(t n) + 1 first of a text's n shingles in the order of their hashes), which misses
+no pair and costs about twice as much. What the bound leaves is verified on the texts' whole shingle sets.
 
 Texts with the same shingle set form a class and are joined once; pairs are written out from classes at the end.
 
@@ -18,6 +19,7 @@ Defined results: null keys, null texts and texts without a shingle take no part;
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 from functools import lru_cache
@@ -77,8 +79,14 @@ def _permutations() -> tuple[np.ndarray, np.ndarray]:
     return draw() * np.uint64(2) + np.uint64(1), draw()
 
 
-def cells(shingles: np.ndarray) -> np.ndarray:
-    """The keys of the grid cells of a set, one a band."""
+def prefix(shingles: np.ndarray, least: float) -> np.ndarray:
+    """The shingles of which two sets of a similarity of ``least`` must share one; ``shingles`` are sorted."""
+    n = len(shingles)
+    return shingles[: n - math.ceil(least * n - 1e-9) + 1].view(np.int64)
+
+
+def bands(shingles: np.ndarray) -> np.ndarray:
+    """The keys of the bands of a set's MinHash signature."""
     a, b = _permutations()
     low = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
     for i in range(0, len(shingles), 2048):
@@ -109,8 +117,8 @@ def shingle_set(text: str, kind: str, how: dict[str, tuple[str, int, int]]) -> n
     return word_shingles(text, k) if unit == "word" else character_shingles(text, k)
 
 
-def sketch(rows: DataFrame, how: dict[str, tuple[str, int, int]]) -> DataFrame:
-    """(kind, id, c1, c2, n, counts, cells) of ``rows`` (kind, id, text)."""
+def sketch(rows: DataFrame, how: dict[str, tuple[str, int, int]], least: float = 0.5, exact: bool = False) -> DataFrame:
+    """(kind, id, c1, c2, n, counts, cells) of ``rows`` (kind, id, text); texts with a cell in common are candidates."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -119,10 +127,10 @@ def sketch(rows: DataFrame, how: dict[str, tuple[str, int, int]]) -> DataFrame:
             for kind, i, text in zip(kinds, ids, texts):
                 s = shingle_set(text, kind, how)
                 if len(s):
-                    out.append((kind, i, *_set_key(s), len(s), popcounts(s), cells(s)))
+                    out.append((kind, i, *_set_key(s), len(s), popcounts(s), prefix(s, least) if exact else bands(s)))
             cols = list(zip(*out)) if out else [[] for _ in range(7)]
             flat = np.concatenate(cols[6]) if out else np.zeros(0, np.int64)
-            at = np.arange(len(out) + 1, dtype=np.int32) * BANDS
+            at = np.concatenate([[0], np.cumsum([len(x) for x in cols[6]])]).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(cols[0], pa.string()), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.int64()), pa.array(cols[3], pa.int64()), pa.array(cols[4], pa.int32()), pa.array(cols[5], pa.binary()), pa.ListArray.from_arrays(pa.array(at), pa.array(flat))],
                 names=["kind", "id", "c1", "c2", "n", "counts", "cells"],
@@ -175,13 +183,13 @@ def similar_classes(sketches: DataFrame, rows: DataFrame, how: dict[str, tuple[s
     return both.where(similar("kind", "ta", "tb")).select("kind", "a", "b")
 
 
-def near_duplicates(rows: DataFrame, how: dict[str, tuple[str, int, int]], least: float) -> DataFrame:
+def near_duplicates(rows: DataFrame, how: dict[str, tuple[str, int, int]], least: float, exact: bool = False) -> DataFrame:
     """(kind, id_a, id_b): pairs of ids of one kind whose shingle sets are ``least`` similar or more, id_a < id_b.
 
-    ``rows``: kind, id, apart, text. Pairs with an equal non-null ``apart`` don't count.
+    ``rows``: kind, id, apart, text. Pairs with an equal non-null ``apart`` don't count. ``exact`` misses no pair.
     """
     one = rows.where(F.col("id").isNotNull() & F.col("text").isNotNull()).groupBy("kind", "id").agg(F.min(F.struct("text", "apart")).alias("x")).select("kind", "id", "x.apart", "x.text")
-    sketches = cut(sketch(one, how))
+    sketches = cut(sketch(one, how, least, exact))
     names = sketches.groupBy("kind", "c1", "c2").agg(F.min("id").alias("rep"))
     members = sketches.select("kind", "id", "c1", "c2").join(names, ["kind", "c1", "c2"]).select("kind", "id", "rep").join(one.select("kind", "id", "apart"), ["kind", "id"])
     classes = similar_classes(sketches, one, how, least)
