@@ -1,10 +1,16 @@
 """The most similar vectors of every vector: multi-index hashing over learned, rotated binary codes.
 
 Rotations are learned on a bounded sample (principal axes, then iterative quantisation from different starts); the signs
-of a rotated vector are its code of 192 bits. The code is cut into ``PARTS`` substrings of 16 bits, each with an index
-of its own. Every vector probes every index with its substring and all substrings one bit away, which by the pigeonhole
-finds every code within a Hamming distance of 2 * PARTS - 1 (23) and most beyond. Pairs of codes no farther apart than ``RADIUS``
-are reranked by the exact cosine of their floats. Equal vectors are searched for once, through their class.
+of a rotated vector are its code. The code is cut into substrings, each with an index of its own. A vector probes every
+index with its substring and with those that have one more bit set: of two substrings one bit apart exactly one finds the
+other, so every two codes with a substring no farther apart than one bit meet, by the pigeonhole all within a Hamming
+distance of 2 * parts - 1 and most beyond. Pairs whose codes are no farther apart than ``radius`` are reranked by the
+exact cosine of their floats. Equal vectors are searched for once, through their class.
+
+The width of a substring is the logarithm of the largest space's size, so that a bucket of evenly spread codes holds about
+one vector at any size; the number of parts is what finds a pair at the least cosine with a probability of ``FOUND``, and
+nearer ones more surely. The radius leaves out pairs five standard deviations beyond the expected distance of such a pair
+(fewer than one in a million where bits are independent).
 
 Defined results: null vectors, vectors of another length, with a null, infinite or NaN number, all zeros, or without
 a space take no part. Ties go to the smaller key. Repeated rows of one key count once (the smallest vector). Spaces
@@ -13,26 +19,51 @@ are never mixed. An empty input gives an empty result.
 
 from __future__ import annotations
 
-from functools import reduce
+import math
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.session import cut
+
 #: Vectors that the rotation is learned from, at most (the first by hash of their key). Every vector is indexed.
 SAMPLE = 8000
-PARTS, WIDTH = 12, 16
-#: Farther codes than this are not reranked; a cosine of 0.8 differs in 39 bits of 192 on average.
-RADIUS = 66
+#: With which probability a pair at the least cosine shares a bucket.
+FOUND = 0.9
+
+
+@dataclass(frozen=True)
+class Plan:
+    """Substring width, number of substrings, and the farthest codes that are reranked."""
+
+    width: int
+    parts: int
+    radius: int
+
+    @property
+    def longs(self) -> int:
+        return -(-self.width * self.parts // 64)
 
 
-def learn_rotation(vectors: np.ndarray, rounds: int = 40, seed: int = 0) -> np.ndarray:
-    """Rotations (dimensions x PARTS * WIDTH) whose signs keep most of the sample's angles; plain ones for a small sample.
+def plan(rows: int, least: float, found: float = FOUND) -> Plan:
+    """The plan for a space of ``rows`` vectors."""
+    width = min(30, max(10, math.ceil(math.log2(max(rows, 2)))))
+    flip = math.acos(least) / math.pi
+    same = (1 - flip) ** width + width * flip * (1 - flip) ** (width - 1)
+    parts = math.ceil(math.log(1 - found) / math.log(1 - same))
+    bits = width * parts
+    return Plan(width, parts, math.ceil(bits * flip + 5 * math.sqrt(bits * flip * (1 - flip))))
+
+
+def learn_rotation(vectors: np.ndarray, bits: int, rounds: int = 40, seed: int = 0) -> np.ndarray:
+    """Rotations (dimensions x bits) whose signs keep most of the sample's angles; plain ones for a small sample.
 
     Each rotation has as many columns as there are dimensions; as many rotations are learned as the bits need.
     """
-    dims, bits = vectors.shape[1], PARTS * WIDTH
+    dims = vectors.shape[1]
     out = []
     while sum(r.shape[1] for r in out) < bits:
         turn = np.linalg.qr(np.random.RandomState(seed + len(out)).randn(dims, dims))[0]
@@ -58,25 +89,40 @@ def usable(vector: Column, dims: int) -> Column:
     return (F.size(vector) == dims) & finite & F.exists(vector, lambda x: x != 0)
 
 
-def _substring(code: list[Column], part: int) -> Column:
-    return F.shiftrightunsigned(code[part // 4], 16 * (part % 4)).bitwiseAND(0xFFFF)
-
-
-def similar_pairs(reps: DataFrame, least: float, dims: int, rotation: np.ndarray) -> DataFrame:
-    """(a, b, cosine) of distinct vectors of one space, a < b, found by the index. ``reps``: rep, space, v, c1, c2, c3."""
-    slim = reps.select("rep", "space", "c1", "c2", "c3")
-    code = [F.col("c1"), F.col("c2"), F.col("c3")]
-    keyed = lambda part, sub: F.xxhash64("space", F.lit(part), sub)
-    index = slim.select(F.col("rep").alias("b"), F.col("space").alias("sb"), F.col("c1").alias("b1"), F.col("c2").alias("b2"), F.col("c3").alias("b3"), F.explode(F.array(*[F.struct(F.lit(t).alias("t"), keyed(t, _substring(code, t)).alias("k")) for t in range(PARTS)])).alias("x"))
-    masks = F.array(F.lit(0).cast("bigint"), *[F.lit(1 << i).cast("bigint") for i in range(WIDTH)])
-    wide = slim.select("rep", "space", "c1", "c2", "c3", F.explode(masks).alias("m"))
-    probe = wide.select(F.col("rep").alias("a"), "space", "c1", "c2", "c3", F.explode(F.array(*[F.struct(F.lit(t).alias("t"), keyed(t, _substring(code, t).bitwiseXOR(F.col("m"))).alias("k")) for t in range(PARTS)])).alias("x"))
-    met = probe.join(index.withColumnRenamed("x", "y"), F.col("x.k") == F.col("y.k")).where((F.col("x.t") == F.col("y.t")) & (F.col("space") == F.col("sb")) & (F.col("a") < F.col("b")))
-    apart = [F.col(f"c{i}").bitwiseXOR(F.col(f"b{i}")) for i in (1, 2, 3)]
-    near = met.where(F.bit_count(apart[0]) + F.bit_count(apart[1]) + F.bit_count(apart[2]) <= RADIUS)
-    # a pair counts in the first of the indexes that find it, so that none comes twice
-    first = reduce(lambda rest, t: F.when(F.bit_count(_substring(apart, t)) <= 1, t).otherwise(rest), reversed(range(PARTS)), F.lit(-1))
-    pairs = near.where(F.col("x.t") == first).select("a", "b")
+_ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
+
+
+def bucket_keys(bits: np.ndarray, spaces: np.ndarray, p: Plan) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(own keys, probed keys, how many probed) of codes: the buckets a vector lies in, and all that it looks into, its own first."""
+    n = len(bits)
+    sub = (bits.reshape(n, p.parts, p.width) * (1 << np.arange(p.width, dtype=np.int64))).sum(axis=2)
+    part = np.arange(p.parts, dtype=np.uint64)[None, :] * _ODD[1] + spaces.view(np.uint64)[:, None] * _ODD[2]
+
+    def key(x: np.ndarray) -> np.ndarray:
+        h = (x.astype(np.uint64) + np.uint64(1)) * _ODD[0] ^ part.reshape(n, p.parts, *[1] * (x.ndim - 2))
+        h = (h ^ (h >> np.uint64(32))) * _ODD[1]
+        return (h ^ (h >> np.uint64(29))).view(np.int64)
+
+    own = key(sub)
+    more = sub[:, :, None] | (1 << np.arange(p.width, dtype=np.int64))
+    fresh = more != sub[:, :, None]
+    probed = key(more)
+    return own, probed[fresh], fresh.reshape(n, -1).sum(axis=1)
+
+
+def similar_pairs(reps: DataFrame, least: float, dims: int, p: Plan) -> DataFrame:
+    """(a, b, cosine) of distinct vectors of one space, a < b, found by the index. ``reps``: rep, space, v, own, more, c0 ...
+
+    ``own`` and ``more`` are the keys of ``bucket_keys``, the c's the code. ``rep`` is a number.
+    """
+    code = [f"c{i}" for i in range(p.longs)]
+    index = reps.select(F.col("rep").alias("b"), F.col("space").alias("sb"), *[F.col(c).alias(f"b{c}") for c in code], F.explode("own").alias("k"))
+    # a bucket's own vectors meet once, by their order; those one bit apart meet from one side only
+    probe = reps.select(F.col("rep").alias("a"), F.col("space").alias("sa"), *code, F.explode(F.concat(F.transform("own", lambda k: F.struct(k.alias("k"), F.lit(True).alias("same"))), F.transform("more", lambda k: F.struct(k.alias("k"), F.lit(False).alias("same"))))).alias("x"))
+    probe = probe.select("a", "sa", *code, F.col("x.k").alias("k"), F.col("x.same").alias("same"))
+    apart = sum((F.bit_count(F.col(c).bitwiseXOR(F.col(f"b{c}"))) for c in code), F.lit(0))
+    met = probe.join(index, "k").where((F.col("sa") == F.col("sb")) & F.when(F.col("same"), F.col("a") < F.col("b")).otherwise(F.col("a") != F.col("b")) & (apart <= p.radius))
+    pairs = met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     vectors = reps.select("rep", "v")
     both = pairs.join(vectors.select(F.col("rep").alias("a"), F.col("v").alias("va")), "a").join(vectors.select(F.col("rep").alias("b"), F.col("v").alias("vb")), "b")
 
@@ -92,28 +138,32 @@ def nearest(df: DataFrame, key: str, vector: str, space: Column, k: int = 5, lea
     """(id, neighbour): for each usable vector the ``k`` most similar others of its space with a cosine of ``least`` or more."""
     rows = df.select(F.col(key).alias("id"), space.alias("space"), F.col(vector).cast("array<float>").alias("v"))
     rows = rows.where(F.col("id").isNotNull() & F.col("space").isNotNull() & usable(F.col("v"), dims))
+    # copies of one vector form a class; one row a class is enough to search, six ids a class to answer from
+    members = rows.select("id", "space", F.xxhash64("space", "v").alias("h1"), F.hash("v", "space").alias("h2"), "v").groupBy("id").agg(F.min(F.struct("h1", "h2", "space", "v")).alias("x")).select("id", "x.*")
+    by_class = Window.partitionBy("h1", "h2", "space").orderBy("id")
+    few = members.withColumn("r", F.row_number().over(by_class)).where(F.col("r") <= k + 1)
+    p = plan(members.groupBy("space").count().agg(F.max("count")).first()[0] or 0, least)
     fitted = rows.orderBy(F.xxhash64("id"), "id").limit(sample).select("v").toPandas()
     x = _matrix(fitted["v"], dims)
-    rotation = learn_rotation(x / np.linalg.norm(x, axis=1, keepdims=True) if len(x) else x)
+    rotation = learn_rotation(x / np.linalg.norm(x, axis=1, keepdims=True) if len(x) else x, p.width * p.parts)
 
-    @F.pandas_udf("c1 bigint, c2 bigint, c3 bigint")
-    def codes(values: pd.Series) -> pd.DataFrame:
+    @F.pandas_udf("own array<bigint>, more array<bigint>, " + ", ".join(f"c{i} bigint" for i in range(p.longs)))
+    def codes(values: pd.Series, spaces: pd.Series) -> pd.DataFrame:
         bits = _matrix(values, dims) @ rotation > 0
-        packed = np.packbits(bits, axis=1, bitorder="little").copy().view(np.int64)
-        return pd.DataFrame({"c1": packed[:, 0], "c2": packed[:, 1], "c3": packed[:, 2]})
+        own, more, count = bucket_keys(bits, spaces.to_numpy(np.int64), p)
+        packed = np.packbits(np.pad(bits, ((0, 0), (0, 64 * p.longs - bits.shape[1]))), axis=1, bitorder="little").copy().view(np.int64)
+        return pd.DataFrame({"own": list(own), "more": np.split(more, np.cumsum(count)[:-1]) if len(count) else [], **{f"c{i}": packed[:, i] for i in range(p.longs)}})
 
-    # copies of one vector form a class; one row a class is enough to search, six ids a class to answer from
-    members = rows.select("id", "space", F.xxhash64("space", "v").alias("h1"), F.hash("v", "space").alias("h2"), "v").groupBy("id").agg(F.min(F.struct("h1", "h2", "space", "v")).alias("x")).select("id", "x.*")
-    by_class = Window.partitionBy("h1", "h2", "space").orderBy("id")
-    few = members.withColumn("r", F.row_number().over(by_class)).where(F.col("r") <= k + 1)
-    reps = few.where("r = 1").select(F.col("id").alias("rep"), "space", "h1", "h2", "v").withColumn("c", codes("v")).select("rep", "space", "v", "c.*")
-    found = similar_pairs(reps, least, dims, rotation)
+    # numbered and written once: the searches below read it several times
+    reps = cut(few.where("r = 1").select("id", "space", "h1", "h2", "v").withColumn("c", codes("v", F.xxhash64("space"))).select(F.monotonically_increasing_id().alias("rep"), "id", "space", "h1", "h2", "v", "c.*"))
+    found = similar_pairs(reps.drop("id", "h1", "h2"), least, dims, p)
     ways = found.select(F.col("a").alias("rep"), F.col("b").alias("other"), "cosine").unionByName(found.select(F.col("b").alias("rep"), F.col("a").alias("other"), "cosine"))
-    best = ways.withColumn("r", F.row_number().over(Window.partitionBy("rep").orderBy(F.desc("cosine"), "other"))).where(F.col("r") <= k).select("rep", "other", "cosine")
-    own = few.select(F.min("id").over(by_class.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("rep"), "id")
+    named = reps.select("rep", F.col("id").alias("first"), "h1", "h2", "space")
+    ranked = ways.join(named.select(F.col("rep").alias("other"), "first"), "other")
+    best = ranked.withColumn("r", F.row_number().over(Window.partitionBy("rep").orderBy(F.desc("cosine"), "first"))).where(F.col("r") <= k).select("rep", "other", "cosine")
+    own = few.select("id", "h1", "h2", "space").join(named.drop("first"), ["h1", "h2", "space"]).select("rep", "id")
     names = best.join(own.select(F.col("rep").alias("other"), "id"), "other").select("rep", "cosine", "id").unionByName(own.select("rep", F.lit(2.0).alias("cosine"), "id"))
     offers = names.groupBy("rep").agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("cosine")).alias("far"), "id"))), 1, k + 1).alias("offers"))
-    keyed = few.where("r = 1").select("h1", "h2", "space", F.col("id").alias("rep"))
-    all_ = members.select("id", "h1", "h2", "space").join(keyed, ["h1", "h2", "space"]).select("id", "rep").join(offers, "rep")
+    all_ = members.select("id", "h1", "h2", "space").join(named.drop("first"), ["h1", "h2", "space"]).select("id", "rep").join(offers, "rep")
     answer = all_.select("id", F.explode(F.slice(F.filter("offers", lambda o: o["id"] != F.col("id")), 1, k)).alias("o"))
     return answer.select("id", F.col("o.id").alias("neighbour"))
