@@ -32,7 +32,7 @@ from tidemark.session import cut
 #: Vectors that the rotation is learned from, at most (the first by hash of their key). Every vector is indexed.
 SAMPLE = 8000
 #: With which probability a pair at the least cosine shares a bucket.
-FOUND = 0.9
+FOUND = 0.85
 
 
 @dataclass(frozen=True)
@@ -116,15 +116,15 @@ def similar_pairs(reps: DataFrame, least: float, dims: int, p: Plan) -> DataFram
     ``own`` and ``more`` are the keys of ``bucket_keys``, the c's the code. ``rep`` is a number.
     """
     code = [f"c{i}" for i in range(p.longs)]
-    index = reps.select(F.col("rep").alias("b"), F.col("space").alias("sb"), *[F.col(c).alias(f"b{c}") for c in code], F.explode("own").alias("k"))
-    # a bucket's own vectors meet once, by their order; those one bit apart meet from one side only
-    probe = reps.select(F.col("rep").alias("a"), F.col("space").alias("sa"), *code, F.explode(F.concat(F.transform("own", lambda k: F.struct(k.alias("k"), F.lit(True).alias("same"))), F.transform("more", lambda k: F.struct(k.alias("k"), F.lit(False).alias("same"))))).alias("x"))
-    probe = probe.select("a", "sa", *code, F.col("x.k").alias("k"), F.col("x.same").alias("same"))
+    index = reps.select(F.col("rep").alias("b"), *[F.col(c).alias(f"b{c}") for c in code], F.explode("own").alias("k"))
+    # a bucket's own vectors meet once, by their order; those one bit apart meet from one side only, marked by a negative number
+    probe = reps.select("rep", *code, F.posexplode(F.concat("own", "more")).alias("pos", "k")).select(F.when(F.col("pos") < p.parts, F.col("rep")).otherwise(-F.col("rep") - 1).alias("a"), *code, "k")
     apart = sum((F.bit_count(F.col(c).bitwiseXOR(F.col(f"b{c}"))) for c in code), F.lit(0))
-    met = probe.join(index, "k").where((F.col("sa") == F.col("sb")) & F.when(F.col("same"), F.col("a") < F.col("b")).otherwise(F.col("a") != F.col("b")) & (apart <= p.radius))
+    met = probe.join(index, "k").where((apart <= p.radius) & F.when(F.col("a") >= 0, F.col("a") < F.col("b")).otherwise(-F.col("a") - 1 != F.col("b")))
+    met = met.select(F.when(F.col("a") >= 0, F.col("a")).otherwise(-F.col("a") - 1).alias("a"), "b")
     pairs = met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    vectors = reps.select("rep", "v")
-    both = pairs.join(vectors.select(F.col("rep").alias("a"), F.col("v").alias("va")), "a").join(vectors.select(F.col("rep").alias("b"), F.col("v").alias("vb")), "b")
+    vectors = reps.select("rep", "v", "space")
+    both = pairs.join(vectors.select(F.col("rep").alias("a"), F.col("v").alias("va"), F.col("space").alias("sa")), "a").join(vectors.select(F.col("rep").alias("b"), F.col("v").alias("vb"), F.col("space").alias("sb")), "b").where("sa = sb")
 
     @F.pandas_udf("double")
     def cosine(x: pd.Series, y: pd.Series) -> pd.Series:
