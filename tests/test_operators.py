@@ -123,7 +123,7 @@ def _brute(texts, terms):
 def test_search_of_whole_tables(spark, tmp_path):
     titles = ["Benchmark suite", "Le benchmark de l’été", "Bench：benchmarks", "no\u00a0break governance", "发布benchmark新版", "gouvernance éthique", "governance", "be\u0301nchm", "评测", "bénch", None, ""]
     spark.createDataFrame([(str(i), t) for i, t in enumerate(titles)], "record_id string, title string").write.parquet(str(tmp_path / "collected_items.parquet"))
-    got = {r.record_id for r in textual.search_items(spark, str(tmp_path)).collect()}
+    got = {r.record_id for r in textual.search_membership(spark, str(tmp_path)).collect()}
     assert got == {str(i) for i, t in enumerate(titles) if _brute([t], ["benchm", "governence"])} >= {"1", "2", "3", "4"}
     events = [
         ("title", "benchmark：新版", None, None, None, None), ("summary", "x", "通过benchmarks测试", "y", [], []), ("why", "x", "y", "governance 改善", [], []), ("entity", "x", "y", "z", ["org-a", "Benchmarkia"], []),

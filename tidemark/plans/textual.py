@@ -10,6 +10,7 @@ from tidemark.functions import text as txt
 from tidemark.functions import vectors
 from tidemark.io import table
 from tidemark.operators import clusters, export, search
+from tidemark.operators import events as ev
 from tidemark.operators import relations as rel
 from tidemark.plans.relational import _RANK
 from tidemark.streaming import jobs
@@ -126,39 +127,40 @@ def cross_tags(spark, d):
     return table(spark, d, "collected_items").select("record_id", F.explode(rul.tags(F.col("summary"), _TAGS)).alias("tag"))
 
 
-@query("""WITH n AS (SELECT DISTINCT unnest(entities) AS name FROM radar_events), a AS (SELECT name FROM n WHERE NOT starts_with(name, 'org-')), t AS (SELECT record_id, unnest(list_distinct(regexp_extract_all(lower(title), '[a-z0-9]+'))) AS w FROM collected_items)
-SELECT record_id, arg_max(name, (length(name), name)) AS entity FROM t JOIN a ON w = name GROUP BY record_id""")
+_NAMES = """(SELECT DISTINCT name, lower(name) AS low FROM (SELECT unnest(entities) AS name FROM radar_events) WHERE name IS NOT NULL)"""
+
+
+@query(rf"""SELECT record_id, arg_max(name, (length(name), name)) AS entity FROM (SELECT record_id, lower(title) AS t FROM collected_items WHERE title IS NOT NULL) i JOIN {_NAMES} n ON contains(t, low) AND (NOT regexp_matches(low, '^[a-z0-9_-]+$') OR regexp_matches(t, '(^|[^a-z0-9])' || regexp_escape(low) || '($|[^a-z0-9])')) GROUP BY record_id""")
 def alias_detection(spark, d):
-    """The longest alias a title names. Aliases are words, so containment is an equi-join on words."""
-    names = table(spark, d, "radar_events").select(F.explode("entities").alias("w")).where("not startswith(w, 'org-')").distinct()
-    words = table(spark, d, "collected_items").select("record_id", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("title"), F.lit("([a-z0-9]+)"), 1))).alias("w"))
-    return words.join(names, "w").groupBy("record_id").agg(F.max_by("w", F.struct(F.length("w"), "w")).alias("entity"))
+    """The longest name of an entity that a title holds, of several words or none."""
+    names = table(spark, d, "radar_events").select(F.explode("entities").alias("entity")).distinct()
+    return ev.aliases_in(table(spark, d, "collected_items").select("record_id", "title"), "record_id", "title", names, "entity").select("record_id", F.col("name").alias("entity"))
+
 
+# Tokens in SQL: a Han character alone, else runs of letters and digits with the marks on them.
+_TOKENS = r"list_distinct(regexp_extract_all(regexp_replace(lower({c}), '(\p{{Han}})', ' \1 ', 'g'), '[\p{{L}}\p{{N}}][\p{{L}}\p{{N}}\p{{M}}]*'))"
 
-@query("SELECT w AS token, count(*) AS docs FROM (SELECT record_id, unnest(list_distinct(regexp_extract_all(lower(title), '[a-z0-9]+'))) AS w FROM collected_items) GROUP BY w")
+
+@query(f"SELECT w AS token, count(*) AS docs FROM (SELECT record_id, unnest({_TOKENS.format(c='title')}) AS w FROM collected_items) GROUP BY w")
 def token_counts(spark, d):
-    """Document counts of tokens, combined before the shuffle."""
-    w = table(spark, d, "collected_items").select("record_id", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("title"), F.lit("([a-z0-9]+)"), 1))).alias("token"))
+    """Document counts of the tokens of every title, combined before the shuffle."""
+    w = table(spark, d, "collected_items").select("record_id", F.explode(F.array_distinct(txt.tokens(F.col("title")))).alias("token"))
     return w.groupBy("token").agg(F.count("*").alias("docs"))
 
 
-@query("SELECT DISTINCT record_id FROM (SELECT record_id, unnest(regexp_extract_all(lower(title), '[a-z0-9]+')) AS w FROM collected_items WHERE NOT regexp_matches(title, '[^ -~]')) WHERE starts_with(w, 'benchm') OR levenshtein(w, 'benchm') <= 1 OR starts_with(w, 'governence') OR levenshtein(w, 'governence') <= 2")
+_FUZZY = lambda term, edits: f"(starts_with(w, '{term}') OR levenshtein(regexp_replace(w, '[^ -~]', '?', 'g'), '{term}') <= {edits})"
+
+
+@query(f"SELECT DISTINCT record_id FROM (SELECT record_id, unnest({_TOKENS.format(c='title')}) AS w FROM collected_items) WHERE {_FUZZY('benchm', 1)} OR {_FUZZY('governence', 2)}")
 def search_membership(spark, d):
-    """Prefix and fuzzy membership of two terms, over plain ASCII titles."""
-    c = table(spark, d, "collected_items").where("not title rlike '[^ -~]'").select("record_id", "title")
+    """Prefix and fuzzy membership of two terms, over every title."""
+    c = table(spark, d, "collected_items").select("record_id", "title")
     return search.search(search.postings(c, "record_id", {"title": 3.0}), "record_id", ["benchm", "governence"]).select("record_id")
 
 
 _TERMS = ["benchm", "governence"]
 
 
-@query()
-def search_items(spark, d):
-    """Prefix and fuzzy membership over every title, in whatever script."""
-    c = table(spark, d, "collected_items").select("record_id", "title")
-    return search.search(search.postings(c, "record_id", {"title": 3.0}), "record_id", _TERMS).select("record_id")
-
-
 @query()
 def search_events(spark, d):
     """The same over five fields of every event; topics stand for tags, which the tables don't hold."""
@@ -173,23 +175,24 @@ def slugs(spark, d):
     return table(spark, d, "collected_items").where("canonical_url is not null").select("record_id", F.element_at(F.split(bare, "/"), -1).alias("slug"))
 
 
-@query()
+@query(r"""SELECT record_id, array_to_string(list_transform(string_split(trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(canonical_url, '[?#].*$', ''), '/+$', ''), '^.*/', ''), '-[0-9]{4}-[0-9]{2}-[0-9]{2}$', ''), '[-_]+', ' ', 'g')), ' '), lambda w: upper(w[1:1]) || lower(w[2:])), ' ') AS title FROM collected_items WHERE canonical_url IS NOT NULL""")
 def slug_titles(spark, d):
     """I11."""
     return table(spark, d, "collected_items").where("canonical_url is not null").select("record_id", txt.slug_title(F.col("canonical_url")).alias("title"))
 
 
-@query("SELECT event_id, CAST(props->>'$.k' AS INTEGER) AS k FROM events WHERE CAST(props->>'$.k' AS INTEGER) >= 50")
+@query("SELECT event_id, CAST(props->>'$.k' AS INTEGER) AS k FROM events")
 def json_path_props(spark, d):
     """Paths of open JSON."""
     k = F.get_json_object("props", "$.k").cast("int")
-    return table(spark, d, "events").select("event_id", k.alias("k")).where("k >= 50")
+    return table(spark, d, "events").select("event_id", k.alias("k"))
 
 
-@query("SELECT event_id, CAST(len(topics) AS INTEGER) AS n, list_contains(topics, 'long_horizon') AS long, len(list_filter(entities, lambda x: starts_with(x, 'org-'))) AS orgs FROM radar_events WHERE topics IS NOT NULL AND entities IS NOT NULL")
+@query("SELECT event_id, coalesce(len(topics), 0)::INTEGER AS n, coalesce(list_contains(topics, 'long_horizon'), false) AS long, coalesce(len(list_filter(entities, lambda x: starts_with(x, 'org-'))), 0)::BIGINT AS orgs FROM radar_events")
 def array_metadata(spark, d):
     """I47, I48."""
-    e = table(spark, d, "radar_events").where("topics is not null and entities is not null")
+    none = F.array().cast("array<string>")
+    e = table(spark, d, "radar_events").select("event_id", F.coalesce("topics", none).alias("topics"), F.coalesce("entities", none).alias("entities"))
     return e.select("event_id", F.size("topics").alias("n"), F.array_contains("topics", "long_horizon").alias("long"), F.size(F.filter("entities", lambda x: x.startswith("org-"))).cast("bigint").alias("orgs"))
 
 

@@ -140,3 +140,15 @@ def attach_late(left: DataFrame, right: DataFrame, key: str, left_at: str, right
     b = right.withColumn("__r", F.col(right_at).cast("timestamp")).withWatermark("__r", within).alias("r")
     near = (F.col("r.__r") >= F.col("l.__l") - F.expr(f"INTERVAL {within}")) & (F.col("r.__r") <= F.col("l.__l") + F.expr(f"INTERVAL {within}"))
     return a.join(b, (F.col(f"l.{key}") == F.col(f"r.{key}")) & near, "inner")
+
+
+def attached(left: DataFrame, right: DataFrame, key: str, left_at: str, right_at: str, within: str, place: str) -> DataFrame:
+    """(key, the columns of both): ``attach_late`` run to the end of what has landed; a restart repeats no pair."""
+    spark = left.sparkSession
+    met = attach_late(left, right, key, left_at, right_at, within).select(F.col(f"l.{key}").alias(key), *[f"l.{c}" for c in left.columns if c != key], *[f"r.{c}" for c in right.columns if c != key])
+
+    def each(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{place}/out/batch={number}")
+
+    _run(met, place, "append", each)
+    return spark.read.schema(met.schema).parquet(f"{place}/out/*")
