@@ -34,17 +34,18 @@ LURE, LURE_OUTSIDE = 0.5, 1.5
 #: Log-odds this near zero count as none.
 SHRINK = 1.5
 
-# Furniture, by pattern, that pages put inside the article's own element.
-FURNITURE = re.compile(
-    r"(?i)^(by [^|]{2,80} \| .*\d|by \p{Lu}[\w.'-]+( \p{Lu}[\w.'-]+){0,3}$|(published|posted|updated|last (updated|modified))( on)?:? .*\d|\d{4}-\d{2}-\d{2}|\d{1,2} (min|minutes?) read"
-    r"|read also: .*|preloaded .* not shown\.|see also: .*|(home|start) > .*|©.*|(thanks|great read|i doubt this|nice (post|article|read)|i (dis)?agree|well said|interesting)[.!] .*)$".replace(r"\p{Lu}", "[A-Z]")
-)
+#: A form of line counts as furniture where this share of the labelled pages' headlines have it, and ``FORMS`` of them at least.
+FORM_SHARE, FORMS = 0.004, 4
 # Sections that hold no article text, in markup that names them.
 OUTSIDE = ("nav", "aside", "footer", "dialog", "header", "form")
 #: Elements of running text; a line of one is weighed, not dropped, where it has the form of a teaser.
+HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 RUNNING = {"h2", "h3", "h4", "h5", "h6", "li", "blockquote"}
 HIDDEN = ("script", "style", "head", "noscript", "template", "svg")
 
+# Containers that sites use alike for anything; they say nothing of what they hold.
+GENERIC = {"div", "p", "table", "tbody", "tr", "td"}
+
 _TAG = re.compile(r"<[^<>]*>")
 _WORD = re.compile(r"[^\W\d_]+|\d+|[|>©]")
 _NAME = re.compile(r"</?\s*([a-zA-Z][a-zA-Z0-9]*)")
@@ -61,6 +62,37 @@ def words(text: str) -> list[str]:
     return got + (["^" + " ".join(got[:2])] if got else []) + [end] + (["=" + " ".join(got)] if 0 < len(got) <= 6 else [])
 
 
+STOPS = tuple(".!?…")
+_SHAPE = re.compile(r"([^\W\d_]+(?:['’.-][^\W\d_]+)*)|\d+|[^\w\s]")
+
+
+def forms(text: str) -> list[str]:
+    """What a line has in common with others of its kind: its shape as a whole, where short, and its opening up to a first mark.
+
+    In a shape numbers are #, and capitalised words but the first are runs of A, so that bylines and dates of all pages
+    share theirs; a sentence has none. An opening is the words up to a first stop or bar, four at most, where more follows;
+    up to a colon only where no sentence follows.
+    """
+    ended = text[-1:] in STOPS
+    out, words_ = [], 0
+    for m in _SHAPE.finditer(text):
+        w = m.group()
+        if m.group(1):
+            words_ += 1
+            w = "A" if words_ > 1 and w[0].isupper() else w.lower()
+        elif w[0].isdigit():
+            w = "#"
+        if not (out and w == out[-1] and w in "A#"):
+            out.append(w)
+        if len(out) > 16:
+            break
+    got = ["~" + " ".join(out)] if 2 <= len(out) <= 14 and words_ <= 10 and any(w in "A#|:>" for w in out) and not ended else []
+    first = next((i for i, w in enumerate(out[:6]) if w in ".!:|"), None)
+    if first and first <= 4 and first + 1 < len(out) and not (ended and out[first] == ":") and not any(w in "A#" for w in out[:first]):
+        got.append("^~" + " ".join(out[: first + 1]))
+    return got
+
+
 def lines_of(page: str, markup: bool) -> list[tuple[str, list[str], str]]:
     """(text, tags, section) of each line; section is '' in the open, or the innermost naming element around it."""
     if not markup:
@@ -92,17 +124,18 @@ def fit(pages: list[str]) -> dict[str, float]:
     good, bad, whole = Counter(), Counter(), (Counter(), Counter())
     labelled = [lines_of(p, True) for p in pages]
     outside = {re.sub(r"\d", "#", t) for ls in labelled for t, _, s in ls if t and s in OUTSIDE}
+    furniture = furniture_forms(labelled)
     seen: set[tuple[str, ...]] = set()
     count = [1, 1]
     for ls in labelled:
         for i, (text, tags, section) in enumerate(ls):
-            if not text or section in HIDDEN or FURNITURE.match(text) or _teaser(ls, i, True):
-                continue  # known by their pattern; what comments and other headlines say isn't held against their words
+            if not text or section in HIDDEN or _teaser(ls, i, True) or section in ("article", "main") and not furniture.isdisjoint(forms(text)):
+                continue  # known by their form; what comments and other headlines say isn't held against their words
             is_article = section in ("article", "main") and re.sub(r"\d", "#", text) not in outside
             got = words(text)
             if got and got[-1][0] == "=":
                 whole[is_article][got.pop()] += 1
-            got += ["<" + t for t in tags]
+            got += ["<" + t for t in tags if t.lstrip("/") not in GENERIC]
             if (is_article, *got) not in seen:
                 seen.add((is_article, *got))
                 count[is_article] += 1
@@ -119,7 +152,24 @@ def fit(pages: list[str]) -> dict[str, float]:
     lines = [sum(c.values()) + 1 for c in whole]
     of = lines[1] / sum(lines)
     out |= {w: max(-8.0, min(8.0, 2 * (math.log((whole[1][w] + of) / lines[1]) - math.log((whole[0][w] + 1 - of) / lines[0])))) for w in whole[0].keys() | whole[1].keys() if whole[0][w] + whole[1][w] >= 3}
-    return {w: round(x, 4) for w, x in (out | {"": math.log(count[1] / count[0])}).items() if x}
+    return {w: round(x, 4) for w, x in (out | {"": math.log(count[1] / count[0])} | dict.fromkeys(furniture, -INSERT)).items() if x}
+
+
+def furniture_forms(pages: list[list[tuple[str, list[str], str]]]) -> set[str]:
+    """Forms of lines that recur under many headlines: what pages put beside or into their articles, not what articles say.
+
+    Copies of a page share its headline and count once; sub-headings and the headline itself are no furniture, however
+    often they recur.
+    """
+    under: dict[str, set[str]] = {}
+    for ls in pages:
+        head = next((t for t, tags, _ in ls if "h1" in tags and t), "") or next((t for t, _, s in ls if s == "article" and t), "")
+        for text, tags, section in ls:
+            if text and section not in HIDDEN and not HEADINGS & set(tags):
+                for f in forms(text):
+                    under.setdefault(f, set()).add(head)
+    heads = {h for hs in under.values() for h in hs}
+    return {f for f, hs in under.items() if len(hs) >= max(FORMS, FORM_SHARE * len(heads))}
 
 
 def plain(text: str | None) -> str:
@@ -146,10 +196,10 @@ def article_lines(page: str, markup: bool, title: str | None, weights: dict[str,
             scores.append(HEAD)
         elif text.startswith("©"):
             scores.append(-STOP)
-        elif FURNITURE.match(text) or (lure := _teaser(lines, i, markup)) and not ("a" not in tags and RUNNING & set(tags)):
+        elif any(f in weights for f in forms(text)) and not HEADINGS & set(tags) or (lure := _teaser(lines, i, markup)) and not ("a" not in tags and RUNNING & set(tags)):
             scores.append(-INSERT)
         else:
-            s = weights.get("", 0.0) + sum(weights.get(w, 0.0) for w in words(text)) + sum(weights.get("<" + t, 0.0) for t in tags) - lure * (LURE if section in ("article", "main") else LURE_OUTSIDE)
+            s = weights.get("", 0.0) + sum(weights.get(w, 0.0) for w in words(text)) + sum(weights.get("<" + t, 0.0) for t in tags if t.lstrip("/") not in GENERIC) - lure * (LURE if section in ("article", "main") else LURE_OUTSIDE)
             scores.append(min(MOST, s) if s > 0 else -INSERT if head is not None else max(-WORST, s))
     best, at, total, start = LEAST, None, 0.0, 0
     for i, s in enumerate(scores):
