@@ -1,8 +1,10 @@
 """The main body of web pages: the maximum-scoring run of lines.
 
-Words score by their log-odds of standing in an article, tags by theirs; weights are fitted on labelled pages, which
-are the pages whose own markup says what is article and what is furniture. A linear scan finds the contiguous run of
-lines with the greatest sum. Within the run, lines that score below zero (bylines, dates, adverts, teasers, comments)
+Words score by their log-odds of standing in an article, named elements by theirs, and so does how a line ends and how
+long it is where it ends without a mark (as other pages' headlines do); all weights are fitted on labelled pages, which are
+the pages whose own markup says what is article and what is furniture. What pages put into their articles' own element
+(bylines, dates, comment openings) is known by forms of lines that recur under many headlines, learned from the same
+pages. A linear scan finds the contiguous run of lines with the greatest sum. Within the run, lines that score below zero
 drop out.
 
 Defined results: a null, empty or undecodable field has no lines; a page whose best run stays under ``LEAST`` has no
@@ -29,8 +31,6 @@ LEAST = 4.0
 MOST, WORST, HEAD = 3.0, 5.0, 8.0
 #: What furniture inside an article and a copyright line cost: an article goes on after the one, not after the other.
 INSERT, STOP = 0.5, 20.0
-#: What reading like another page's headline costs a line of running text, inside an article's element and outside it.
-LURE, LURE_OUTSIDE = 0.5, 1.5
 #: Log-odds this near zero count as none.
 SHRINK = 1.5
 
@@ -38,15 +38,14 @@ SHRINK = 1.5
 FORM_SHARE, FORMS = 0.004, 4
 # Sections that hold no article text, in markup that names them.
 OUTSIDE = ("nav", "aside", "footer", "dialog", "header", "form")
-#: Elements of running text; a line of one is weighed, not dropped, where it has the form of a teaser.
 HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
-RUNNING = {"h2", "h3", "h4", "h5", "h6", "li", "blockquote"}
 HIDDEN = ("script", "style", "head", "noscript", "template", "svg")
 
 # Containers that sites use alike for anything; they say nothing of what they hold.
 GENERIC = {"div", "p", "table", "tbody", "tr", "td"}
 
 _TAG = re.compile(r"<[^<>]*>")
+_LINK = re.compile(r"(?is)<a\b.*?</a>")
 _WORD = re.compile(r"[^\W\d_]+|\d+|[|>©]")
 _NAME = re.compile(r"</?\s*([a-zA-Z][a-zA-Z0-9]*)")
 
@@ -58,7 +57,7 @@ def tidy(text: str) -> str:
 def words(text: str) -> list[str]:
     """Words in lower case, digits as #; the first two words count as an opening of their own, a short line also as a whole."""
     got = ["#" if w[0].isdigit() else w.lower() for w in _WORD.findall(text)]
-    end = "$stop" if text and text[-1] in ".;:!?…\"'”)" else "$none"
+    end = "$stop" if text and text[-1] in ".;:!,?…\"'”)" else "$none" if len(got) < 5 else "$title" if len(got) <= 16 else "$open"
     return got + (["^" + " ".join(got[:2])] if got else []) + [end] + (["=" + " ".join(got)] if 0 < len(got) <= 6 else [])
 
 
@@ -111,6 +110,8 @@ def lines_of(page: str, markup: bool) -> list[tuple[str, list[str], str]]:
                 elif name in stack:
                     while stack and stack.pop() != name:
                         pass
+        if "a" in tags and tidy(_LINK.sub("", raw)):  # a link within a text is another thing than a line that is a link
+            tags = [t + "+" if t in ("a", "/a") else t for t in tags]
         out.append((tidy(raw), tags, next((s for s in stack if s in HIDDEN), inside) or inside))
     return out
 
@@ -129,7 +130,7 @@ def fit(pages: list[str]) -> dict[str, float]:
     count = [1, 1]
     for ls in labelled:
         for i, (text, tags, section) in enumerate(ls):
-            if not text or section in HIDDEN or _teaser(ls, i, True) or section in ("article", "main") and not furniture.isdisjoint(forms(text)):
+            if not text or section in HIDDEN or section in ("article", "main") and not furniture.isdisjoint(forms(text)):
                 continue  # known by their form; what comments and other headlines say isn't held against their words
             is_article = section in ("article", "main") and re.sub(r"\d", "#", text) not in outside
             got = words(text)
@@ -149,6 +150,8 @@ def fit(pages: list[str]) -> dict[str, float]:
         return math.copysign(max(0.0, min(5.0, abs(x)) - SHRINK), x)
 
     out = {w: odds(w) for w in good.keys() | bad.keys()}
+    if "<a" not in out:  # a sample without a line that is a link says nothing of such lines: tags are negative
+        out |= {"<a": -WORST, "</a": -WORST}
     lines = [sum(c.values()) + 1 for c in whole]
     of = lines[1] / sum(lines)
     out |= {w: max(-8.0, min(8.0, 2 * (math.log((whole[1][w] + of) / lines[1]) - math.log((whole[0][w] + 1 - of) / lines[0])))) for w in whole[0].keys() | whole[1].keys() if whole[0][w] + whole[1][w] >= 3}
@@ -196,10 +199,10 @@ def article_lines(page: str, markup: bool, title: str | None, weights: dict[str,
             scores.append(HEAD)
         elif text.startswith("©"):
             scores.append(-STOP)
-        elif any(f in weights for f in forms(text)) and not HEADINGS & set(tags) or (lure := _teaser(lines, i, markup)) and not ("a" not in tags and RUNNING & set(tags)):
+        elif (any(f in weights for f in forms(text)) or _barred(text) or "a" in tags and weights.get("<a", 0.0) < 0 and text[-1] not in STOPS) and not HEADINGS & set(tags):
             scores.append(-INSERT)
         else:
-            s = weights.get("", 0.0) + sum(weights.get(w, 0.0) for w in words(text)) + sum(weights.get("<" + t, 0.0) for t in tags if t.lstrip("/") not in GENERIC) - lure * (LURE if section in ("article", "main") else LURE_OUTSIDE)
+            s = weights.get("", 0.0) + sum(weights.get(w, 0.0) for w in words(text)) + sum(weights.get("<" + t, 0.0) for t in tags if t.lstrip("/") not in GENERIC)
             scores.append(min(MOST, s) if s > 0 else -INSERT if head is not None else max(-WORST, s))
     best, at, total, start = LEAST, None, 0.0, 0
     for i, s in enumerate(scores):
@@ -213,16 +216,9 @@ def article_lines(page: str, markup: bool, title: str | None, weights: dict[str,
     return [i + 1 for i in range(at[0], at[1] + 1) if scores[i] > 0] if at else []
 
 
-def _teaser(lines: list[tuple[str, list[str], str]], i: int, markup: bool) -> bool:
-    """A line that reads like another page's headline: five words or more, no stop at its end, not running on."""
-    text, tags, _ = lines[i]
-    n = len(text.split())
-    if n < 5 or n > 16 or text[-1] in ".;:!,…\"'”":
-        return False
-    if markup and not any(t.startswith("/") for t in tags):  # the element runs on in the next line
-        return False
-    after = next((t for t, _, _ in lines[i + 1 : i + 3] if t), "") if not markup else ""
-    return not after[:1].islower() or (5 <= len(after.split()) <= 16 and after[-1] not in ".;:!,…\"'”")
+def _barred(text: str) -> bool:
+    """Whether a line is parts set apart by bars, as bylines and menus are, and no sentence."""
+    return " | " in text and text[-1] not in STOPS
 
 
 @lru_cache(2)
