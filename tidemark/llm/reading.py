@@ -1,13 +1,13 @@
 """Reading level of documents: classic readability formulas, each mapped to a level, combined by their median.
 
-Sentence lengths, word lengths and syllables (counted by vowel groups with rules for silent and parted vowels of each
-language) feed five formulas. Thresholds that turn a formula's grade into a level are fitted on labelled documents,
+Sentence lengths, word lengths and syllables (counted by hyphenation-style patterns of each language over its vowel
+groups) feed five formulas. Thresholds that turn a formula's grade into a level are fitted on labelled documents,
 per language, and apart for texts with and without sentence marks (transcripts); the document's level is the median of
 the five levels.
 
 Defined results: documents with null text, of another language or with fewer than ``LEAST_WORDS`` words get no level;
-without any usable label of a language (and kind) its thresholds are those of all labels, without any at all the
-``DEFAULT`` ones. Very long texts are read whole. Repeated rows are kept as they are.
+a language (and kind) with fewer than ``OWN`` labelled documents takes the thresholds of its kind in all languages, or
+else of all labelled documents, and with fewer than ``OWN`` at all the ``DEFAULT`` ones. Very long texts are read whole. Repeated rows are kept as they are.
 """
 
 from __future__ import annotations
@@ -23,6 +23,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 LEAST_WORDS = 40
+#: Labelled documents that thresholds need to be fitted on.
+OWN = 20
 #: Labelled documents that thresholds are fitted on, at most (the first by hash of their key).
 LABELLED = 20_000
 LANGUAGES = ("en", "de", "fr", "es")
@@ -36,24 +38,52 @@ _WORD = re.compile(r"[^\W\d_]+(?:['’-][^\W\d_]+)*")
 _STOP = re.compile(r"[^\W\d_][)\"'”»]*[;…]*[.!?…]+[)\"'”»]*(?=\s|$)")
 _VOWELS = {"en": "aeiouy", "de": "aeiouyäöü", "fr": "aeiouyàâéèêëîïôöùûüœæ", "es": "aeiouáéíóúü"}
 _GROUPS = {k: re.compile("[" + v + "]+") for k, v in _VOWELS.items()}
-_SILENT_FR = re.compile("[^aeiouyé](e|es|ent)$")
-_PARTED_ES = re.compile("[aeo][aeo]|[íú][aeo]|[aeo][íú]")
+
+#: Hyphenation-style patterns: a dot is a word's end, a digit the level of the letter after it. Where patterns meet in a
+#: letter the highest level holds. A letter of an odd level is a syllable's nucleus, one of an even level is none; the first
+#: letter of a vowel group has level 1 without a pattern, its other letters 0.
+PATTERNS = {
+    "en": [
+        "2e.", "2es.", "2ed.", "2ely.", "2ement", "2eful", "2eless", "2eness", "2eteen", "e3e.", "e1a1tiv", "i1a", "i1o", "i1u", "i1ent", "i1er.", "i1est.", "u1a", "u1ou", "e1o", "e1u", "y1i", "y1a", "y1e",
+        "ti2o", "si2o", "ci2o", "gi2o", "ci2a", "ti2a", "si2a", "qu2a", "gu2a", "ti2e", "ci2e", "que2", "t3ed.", "d3ed.", "pe2o", "a1ing", "e1ing", "o1ing", "re1a2ct", "re1e", "re1i", "cre1at", "co1o2p", "co1or", "sci3e", "di1et", "qui1e", "o1e2t.", "li1a",
+        *[c + "l3e." for c in "bcdfgkptz"], *[c + "l3es." for c in "bcdfgkptz"], *[c + "3es." for c in ("s", "z", "x", "ch", "sh", "c", "g")],
+    ],
+    "de": ["e1a", "e1o", "i1a", "i1o", "i1u", "i1ä", "i1ö", "u1a", "u1o", "u1i", "u1ie", "u1e", "a1o", "o1a", "o1e2r", "ä1o", "ge1e", "be1e", "ge1i", "be1i", "ge1u", "be1u", "se3um", "re1i", "re1e", "ie1u", "e2u", "a2u", "qu2a", "qu2e", "qu2i", "qu2o", "ie1r1e", "ei1e", "eu1e", "au1e", "äu1e", "aue1"],
+    "fr": ["é1â", "é1en", "é1er", "2e.", "2es.", "2ent.", "é1a", "é1o", "é1i", "é1u", "a1é", "o1é", "i1é", "u1é", "a1ï", "o1ï", "é1e2.", "é1e2s.", "i2e.", "u2e.", "é2e.", "é2es.", "i1a", "cri1", "pli1", "bli1", "tri1o", "o1a", "a1o", "qu2a", "qu2e", "qu2i", "qu2o", "gu2e", "gu2i", "c3el.", "m3ent.", "c3ent.", "t3ent.", "v3ent.", "d3ent.", "g3ent.", "i3ent.", "n2ent.", "r2ent.", "s2ent."],
+    "es": [*[a + "1" + b for a in "aeoáéó" for b in "aeoáéó"], *["í1" + b for b in "aeo"], *["ú1" + b for b in "aeo"], *[a + "1í" for a in "aeo"], *[a + "1ú" for a in "aeo"], "qu2e", "qu2i", "gu2e", "gu2i"],
+}
+
+
+@lru_cache(8)
+def _parsed(lang: str) -> dict[str, list[tuple[str, list[tuple[int, int]]]]]:
+    """Patterns by their first letter, as letters and (place, level) of those that have one."""
+    out: dict[str, list[tuple[str, list[tuple[int, int]]]]] = {}
+    for p in PATTERNS[lang]:
+        letters, levels = "", []
+        for ch in p:
+            if ch.isdigit():
+                levels.append((len(letters), int(ch)))
+            else:
+                letters += ch
+        levels = [(i, n) for i, n in levels if i < len(letters)]
+        out.setdefault(letters[0], []).append((letters, levels))
+    return out
 
 
 @lru_cache(200_000)
 def syllables(word: str, lang: str) -> int:
-    """Syllables of a lower-case word, at least one."""
-    n = len(_GROUPS[lang].findall(word))
-    if lang == "en":
-        silent_e = len(word) > 2 and word.endswith("e") and not word.endswith(("le", "ee"))
-        silent_es = word.endswith("es") and not word.endswith(("ses", "zes", "ches", "shes", "xes", "ces", "ges", "ies"))
-        silent_ed = word.endswith("ed") and not word.endswith(("ted", "ded"))
-        n -= silent_e or silent_es or silent_ed
-    elif lang == "fr":
-        n -= n > 1 and _SILENT_FR.search(word) is not None
-    elif lang == "es":
-        n += len(_PARTED_ES.findall(word))
-    return max(1, n)
+    """Syllables of a lower-case word by the patterns of its language, at least one."""
+    text = "." + word + "."
+    level = [0] * len(text)
+    for m in _GROUPS[lang].finditer(text):
+        level[m.start()] = 1
+    patterns = _parsed(lang)
+    for i, ch in enumerate(text):
+        for letters, levels in patterns.get(ch, ()):
+            if text.startswith(letters, i):
+                for at, n in levels:
+                    level[i + at] = max(level[i + at], n)
+    return max(1, sum(n % 2 for n in level))
 
 
 @lru_cache(200_000)
@@ -135,8 +165,8 @@ def fit(documents: DataFrame, labels: DataFrame, key: str, text: str, lang: str,
     for l in LANGUAGES:
         for marked in (True, False):
             own = rows[(rows["lang"] == l) & (rows["marked"] == marked)]
-            use = own if len(own) >= 20 else rows[rows["marked"] == marked] if (rows["marked"] == marked).sum() >= 20 else rows
-            out[l, marked] = {f: thresholds(use[f].to_numpy(float), use["level"].to_numpy(float)) for f in FORMULAS} if len(use) >= 20 else DEFAULT
+            use = own if len(own) >= OWN else rows[rows["marked"] == marked] if (rows["marked"] == marked).sum() >= OWN else rows
+            out[l, marked] = {f: thresholds(use[f].to_numpy(float), use["level"].to_numpy(float)) for f in FORMULAS} if len(use) >= OWN else DEFAULT
     return out
 
 
