@@ -161,6 +161,18 @@ def test_streams(spark, tmp_path):
     assert s == {k: ("click", 15) for k in range(4)}
     v = jobs.version_stream(stream(), ["user_id"], "ts", "event_id", F.col("event_type"), jobs.workspace(spark))
     assert v.count() == 8
+    # files that land later, with rows far behind what was seen, count as well; a run without new files changes nothing
+    place, other = jobs.workspace(spark), jobs.workspace(spark)
+    jobs.tumbling_counts(stream(), "ts", "1 day", ["event_type"], place), jobs.version_stream(stream(), ["user_id"], "ts", "event_id", F.col("event_type"), other)
+    df.withColumn("ts", F.col("ts") - F.expr("INTERVAL 400 DAYS")).coalesce(1).write.mode("append").parquet(str(tmp_path / "events.parquet"))
+    for _ in range(2):
+        more = jobs.tumbling_counts(stream(), "ts", "1 day", ["event_type"], place)
+        touched = jobs.version_stream(stream(), ["user_id"], "ts", "event_id", F.col("event_type"), other)
+    assert sum(r.n for r in more.collect()) == 120 and more.count() == 12 and touched.count() == 8
+    assert {str(r.first_at)[:4] for r in touched.collect()} == {"2022"}
+    for p in (tmp_path / "events.parquet").glob("part-00000*"):
+        if spark.read.parquet(str(p)).agg(F.min("ts")).first()[0].year < 2024:
+            p.unlink()
     place = jobs.workspace(spark)
     first = jobs.first_deliveries(stream(), "ts", "user_id", place)
     assert first.count() == 4

@@ -45,6 +45,11 @@ def test_enrich(spark):
     assert {tuple(r) for r in state.enrich(df, fine, "k string, n bigint").collect()} == {("a", 1), ("b", 1)}
     assert {tuple(r) for r in state.enrich(df, fails, "k string, n bigint").collect()} == {("a", None), ("b", None)}
     assert state.enrich(df, None, "").count() == 2
+    local = lambda p: p.assign(n=-1)
+    assert {tuple(r) for r in state.enrich(df, fails, "k string, n bigint", status="who", fallback=local).collect()} == {("a", -1, "fallback"), ("b", -1, "fallback")}
+    assert {r.who for r in state.enrich(df, fine, "k string, n bigint", status="who").collect()} == {"provider"}
+    with pytest.raises(Exception, match="m"):  # a wrong schema is no provider's error
+        state.enrich(df, fine, "k string, m bigint").collect()
 
 
 def test_schema_check(spark):

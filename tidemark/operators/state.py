@@ -50,20 +50,30 @@ def due(sources: DataFrame, now: Column, force: bool = False) -> DataFrame:
     return sources.where(ready if force else ready & (F.col("next_due_at").isNull() | (F.col("next_due_at") <= now)))
 
 
-def enrich(df: DataFrame, provider: Callable[[pd.DataFrame], pd.DataFrame] | None, schema: str) -> DataFrame:
+class ProviderError(ValueError):
+    """What a provider raises for a batch it can't answer."""
+
+
+def enrich(df: DataFrame, provider: Callable[[pd.DataFrame], pd.DataFrame] | None, schema: str, errors: tuple[type[Exception], ...] = (ValueError, TimeoutError, ConnectionError), status: str | None = None, fallback: Callable[[pd.DataFrame], pd.DataFrame] | None = None) -> DataFrame:
     """Rows through an injected provider, batch by batch (K2 to K4); without one, rows pass as they are.
 
-    A provider that fails on a batch leaves the batch as it was: columns it would have added are null.
+    A provider that raises one of ``errors`` on a batch hands it to ``fallback``; without one the batch stays as it was and
+    the columns it would have added are null. Any other fault, a missing column among them, fails the job. ``status`` names
+    a column that tells of each row who answered: provider, fallback or none (K3).
     """
     if provider is None:
-        return df
+        return df.withColumn(status, F.lit("none")) if status else df
     names = [c.strip().split(" ")[0] for c in schema.split(",")]
 
+    def answered(b: pd.DataFrame) -> tuple[pd.DataFrame, str]:
+        try:
+            return provider(b), "provider"
+        except errors:
+            return (fallback(b), "fallback") if fallback else (b.reindex(columns=names), "none")
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            try:
-                yield provider(b)[names]
-            except Exception:  # noqa: BLE001
-                yield b.reindex(columns=names)
+            got, who = answered(b)
+            yield got[names].assign(**{status: who}) if status else got[names]
 
-    return df.mapInPandas(run, schema)
+    return df.mapInPandas(run, f"{schema}, {status} string" if status else schema)

@@ -38,15 +38,19 @@ def _run(df: DataFrame, place: str, mode: str, each) -> None:  # noqa: ANN001
 
 
 def tumbling_counts(stream: DataFrame, at: str, width: str, keys: list[str], place: str) -> DataFrame:
-    """(start, keys, n): counts of event-time windows; late rows count while the watermark of a day allows."""
+    """(start, keys, n): counts of event-time windows, however late a row comes.
+
+    Counts add up, so every batch writes the counts of its own rows and no state is held; a batch that is run again
+    overwrites its own part. Reading sums the parts.
+    """
     spark = stream.sparkSession
-    w = stream.withColumn("__at", F.col(at).cast("timestamp")).withWatermark("__at", "1 day").groupBy(F.window("__at", width), *keys).agg(F.count("*").alias("n"))
 
-    def each(batch: DataFrame, _: int) -> None:
-        batch.select(F.col("window.start").alias("start"), *keys, "n").write.mode("overwrite").parquet(f"{place}/out")
+    def each(batch: DataFrame, number: int) -> None:
+        one = batch.withColumn("__at", F.col(at).cast("timestamp")).groupBy(F.window("__at", width), *keys).agg(F.count("*").alias("n"))
+        one.select(F.col("window.start").alias("start"), *keys, "n").write.mode("overwrite").parquet(f"{place}/out/batch={number}")
 
-    _run(w, place, "complete", each)
-    return spark.read.parquet(f"{place}/out")
+    _run(stream, place, "append", each)
+    return spark.read.parquet(f"{place}/out").groupBy("start", *keys).agg(F.sum("n").alias("n"))
 
 
 def first_deliveries(stream: DataFrame, at: str, key: str, place: str, tie: str | None = None, within: str = "7 days") -> DataFrame:
@@ -82,22 +86,16 @@ def first_deliveries(stream: DataFrame, at: str, key: str, place: str, tie: str
 def version_stream(stream: DataFrame, keys: list[str], at: str, tie: str, digest: Column, place: str) -> DataFrame:
     """(keys, digest, first_at, last_at): contents by key; a batch adds new ones and touches known ones.
 
-    The table is rewritten beside the old one, and the new one counts once its batch has ended, so that a batch that is
-    run again starts from the same state.
+    A batch writes what it saw of each key's contents and nothing else; a batch that is run again overwrites its own part.
+    Reading folds the parts, so that no batch reads or rewrites what is there.
     """
     spark = stream.sparkSession
 
     def each(batch: DataFrame, number: int) -> None:
-        new = batch.withColumn("digest", digest).groupBy(*keys, "digest").agg(F.min(at).alias("first_at"), F.max(at).alias("last_at"))
-        before = [n for n in range(number - 1, -1, -1) if _exists(spark, f"{place}/v{n}/_SUCCESS")]
-        if before:
-            new = spark.read.parquet(f"{place}/v{before[0]}").unionByName(new).groupBy(*keys, "digest").agg(F.min("first_at").alias("first_at"), F.max("last_at").alias("last_at"))
-        new.write.mode("overwrite").parquet(f"{place}/v{number}")
-        spark.createDataFrame([(number,)], "n int").write.mode("overwrite").parquet(f"{place}/last")
+        batch.withColumn("digest", digest).groupBy(*keys, "digest").agg(F.min(at).alias("first_at"), F.max(at).alias("last_at")).write.mode("overwrite").parquet(f"{place}/out/batch={number}")
 
     _run(stream, place, "append", each)
-    last = spark.read.parquet(f"{place}/last").first()["n"]
-    return spark.read.parquet(f"{place}/v{last}")
+    return spark.read.parquet(f"{place}/out").groupBy(*keys, "digest").agg(F.min("first_at").alias("first_at"), F.max("last_at").alias("last_at"))
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
