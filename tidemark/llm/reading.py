@@ -159,8 +159,8 @@ def _grades_of(df: DataFrame, key: str, text: str, lang: str) -> DataFrame:
 def fit(documents: DataFrame, labels: DataFrame, key: str, text: str, lang: str, level: str, most: int = LABELLED) -> dict[tuple[str, bool], dict[str, tuple[float, ...]]]:
     """Thresholds by (language, marked), from the median label of each labelled document."""
     known = labels.where(F.col(level).between(1, LEVELS) & F.col(key).isNotNull()).groupBy(key).agg(F.avg(level).alias("level"))
-    chosen = known.orderBy(F.xxhash64(key), key).limit(most)
-    rows = _grades_of(documents.join(chosen.select(key), key, "left_semi"), key, text, lang).join(chosen.withColumnRenamed(key, "key"), "key").toPandas()
+    chosen = known.orderBy(F.xxhash64(key), key).limit(most)  # at most ``most`` keys, so they are broadcast: no text is shuffled
+    rows = _grades_of(documents.join(F.broadcast(chosen.select(key)), key, "left_semi"), key, text, lang).join(chosen.withColumnRenamed(key, "key"), "key").toPandas()
     out: dict[tuple[str, bool], dict[str, tuple[float, ...]]] = {}
     for l in LANGUAGES:
         for marked in (True, False):
