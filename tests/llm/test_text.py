@@ -3,6 +3,7 @@
 import os
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -169,6 +170,18 @@ def test_token_operator_edges(spark, monkeypatch):
     assert tokenize.decode(ids.tolist()) == "one two three four five six seveneight nine ten"
 
 
+@needs_vocabulary
+def test_slices_of_one_hash_are_told_apart(monkeypatch):
+    texts = ["one two three", None, "", "four, five and six", "sieben acht"]
+    want = [x.tolist() if hasattr(x, "tolist") else x for x in tokenize.encode(texts, VOCAB)[:2]]
+    tokenize.merger.cache_clear()
+    hashes = tokenize._hashes
+    monkeypatch.setattr(tokenize, "_hashes", lambda data, cut, which=0: hashes(data, cut, which) if which else np.zeros(len(cut) - 1, np.uint64))
+    got = [x.tolist() for x in tokenize.encode(texts, VOCAB)[:2]]
+    tokenize.merger.cache_clear()
+    assert got == want
+
+
 # --- packing
 
 

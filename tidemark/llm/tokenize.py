@@ -1,10 +1,11 @@
 """Token ids of a whole corpus by a public byte-level BPE vocabulary, without a regex engine.
 
 A batch of texts becomes one array of code points. A table gives each code point's class (letter, number, space, other);
-token boundaries follow from the classes by a scan: within a run of one class the transition functions are the
-identity and at a change of class they reset, so that their composition (an associative operation) is the running
-maximum of the reset positions. The slices between boundaries are hashed, merged once per distinct slice, and their
-ids are gathered back; the byte offsets of the slices are kept, so that ids decode to the text.
+token boundaries follow from the classes. The transition functions between classes are the identity within a run of one
+class and resets at its ends, so their composition along a text, an associative scan in general, comes down to comparing
+neighbours: every boundary is found in a few passes over whole arrays. The slices between boundaries are hashed by two
+independent 64-bit hashes, merged once per distinct slice, and their ids are gathered back; the byte offsets of the slices
+are kept, so that ids decode to the text. Slices that share the first hash but not the second are merged by their bytes.
 
 Defined results: an empty text and a null text both give an empty list of ids.
 """
@@ -91,7 +92,8 @@ class Merger:
         self.keys = np.zeros(0, np.uint64)
         self.offsets = np.zeros(1, np.int64)
         self.ids = np.zeros(0, np.int32)
-        self.seen: dict[int, list[int]] = {}
+        self.checks = np.zeros(0, np.uint64)
+        self.seen: dict[int, tuple[int, list[int]]] = {}
 
     def merge(self, piece: bytes) -> list[int]:
         """Lowest rank first; a heap of neighbours keeps long slices near linear."""
@@ -122,16 +124,17 @@ class Merger:
                 heapq.heappush(heap, (r, h, len(parts[h]) + len(parts[i])))
         return [self.ranks[p] for p in parts if p is not None]
 
-    def learn(self, hashes: np.ndarray, pieces: list[bytes]) -> None:
+    def learn(self, hashes: np.ndarray, checks: np.ndarray, pieces: list[bytes]) -> None:
         if len(self.seen) + len(pieces) > CACHE:
             self.seen.clear()
-        for h, p in zip(hashes.tolist(), pieces):
-            self.seen[h] = self.merge(p)
+        for h, c, p in zip(hashes.tolist(), checks.tolist(), pieces):
+            self.seen[h] = (c, self.merge(p))
         self.keys = np.fromiter(self.seen, np.uint64, len(self.seen))
         order = np.argsort(self.keys)
         self.keys = self.keys[order]
         values = list(self.seen.values())
-        values = [values[i] for i in order.tolist()]
+        self.checks = np.fromiter((c for c, _ in values), np.uint64, len(values))[order]
+        values = [values[i][1] for i in order.tolist()]
         self.offsets = np.concatenate([[0], np.cumsum([len(v) for v in values])]).astype(np.int64)
         self.ids = np.fromiter((x for v in values for x in v), np.int32, int(self.offsets[-1]))
 
@@ -144,16 +147,16 @@ def merger(path: str) -> Merger:
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
-def _hashes(data: np.ndarray, cut: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each slice ``data[cut[i]:cut[i+1]]``: a sum over bytes of mixed (byte, distance from the start), then mixed with the length."""
+def _hashes(data: np.ndarray, cut: np.ndarray, which: int = 0) -> np.ndarray:
+    """A 64-bit hash, one of several, of each slice ``data[cut[i]:cut[i+1]]``: a sum over bytes of mixed (byte, distance from the start), then mixed with the length."""
     length = np.diff(cut)
     place = np.arange(len(data), dtype=np.int64) - np.repeat(cut[:-1], length)
-    table = _table()
+    table = _table(which)
     wide = place >= 64
     v = table[(np.minimum(place, 63) << 8) | data]
     if wide.any():
         w = np.flatnonzero(wide)
-        x = (place[w].astype(np.uint64) * _MIX) ^ ((data[w].astype(np.uint64) + np.uint64(1)) * np.uint64(0xC2B2AE3D27D4EB4F))
+        x = ((place[w].astype(np.uint64) + np.uint64(which << 40)) * _MIX) ^ ((data[w].astype(np.uint64) + np.uint64(1)) * np.uint64(0xC2B2AE3D27D4EB4F))
         x ^= x >> np.uint64(31)
         x *= np.uint64(0xD6E8FEB86659FD93)
         v[w] = x ^ (x >> np.uint64(32))
@@ -163,9 +166,9 @@ def _hashes(data: np.ndarray, cut: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(33))
 
 
-@lru_cache(1)
-def _table() -> np.ndarray:
-    return np.random.RandomState(7).randint(0, 2**63 - 1, 64 * 256).astype(np.uint64) * np.uint64(2) + np.uint64(1)
+@lru_cache(2)
+def _table(which: int) -> np.ndarray:
+    return np.random.RandomState(7 + which).randint(0, 2**63 - 1, 64 * 256).astype(np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def encode(texts: list[str | None], path: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -186,7 +189,7 @@ def encode(texts: list[str | None], path: str) -> tuple[np.ndarray, np.ndarray,
     else:
         lead = np.flatnonzero((data & 0xC0) != 0x80)
         cut = np.append(lead[begin], len(data))
-    h = _hashes(data, cut)
+    h, check = _hashes(data, cut), _hashes(data, cut, 1)
     at = np.searchsorted(m.keys, h)
     unknown = at >= len(m.keys)
     unknown[~unknown] = m.keys[at[~unknown]] != h[~unknown]
@@ -195,15 +198,20 @@ def encode(texts: list[str | None], path: str) -> tuple[np.ndarray, np.ndarray,
         where = np.flatnonzero(unknown)[first]
         raw = data.tobytes()
         before = len(m.seen)
-        m.learn(fresh, [raw[cut[i] : cut[i + 1]] for i in where.tolist()])
+        m.learn(fresh, check[where], [raw[cut[i] : cut[i + 1]] for i in where.tolist()])
         if len(m.seen) < before + len(fresh):  # the cache was emptied: what this batch needs is learnt again
             need, first = np.unique(h, return_index=True)
-            m.learn(need, [raw[cut[i] : cut[i + 1]] for i in first.tolist()])
+            m.learn(need, check[first], [raw[cut[i] : cut[i + 1]] for i in first.tolist()])
         at = np.searchsorted(m.keys, h)
+    slice_of_text = np.searchsorted(begin, np.concatenate([[0], ends]))
+    if (m.checks[at] != check).any():  # two slices of one hash: merged by their bytes
+        raw, known = data.tobytes(), {}
+        each = [known[p] if p in known else known.setdefault(p, m.merge(p)) for p in (raw[i:j] for i, j in zip(cut[:-1].tolist(), cut[1:].tolist()))]
+        total = np.concatenate([[0], np.cumsum([len(x) for x in each])]).astype(np.int64)
+        return np.fromiter((i for x in each for i in x), np.int32, int(total[-1])), total[slice_of_text], cut, slice_of_text
     count = m.offsets[at + 1] - m.offsets[at]
     total = np.concatenate([[0], np.cumsum(count)])
     pick = np.arange(total[-1]) + np.repeat(m.offsets[at] - total[:-1], count)
-    slice_of_text = np.searchsorted(begin, np.concatenate([[0], ends]))
     return m.ids[pick], total[slice_of_text], cut, slice_of_text
 
 
