@@ -46,7 +46,7 @@ def with_previous(df: DataFrame, keys: list[str], at: str, tie: str, value: str,
     return got.withColumn(name, F.coalesce("__p", "before")["v"]).select(*df.columns, name)
 
 
-def numbered(df: DataFrame, keys: list[str], by: str, ties: list[str], name: str, hot_rows: int = HOT_ROWS) -> DataFrame:
+def numbered(df: DataFrame, keys: list[str], by: str, ties: list, name: str, hot_rows: int = HOT_ROWS) -> DataFrame:
     """``df`` with the number, from 1, of each row in its group, by a number and ties; blocks of a hot group count apart first."""
     blocked, hot = cut_hot(df.withColumn("__at", F.col(by).cast("bigint")), keys, "__at", hot_rows)
     counts = blocked.join(hot, keys, "left_semi").groupBy(*keys, "block").agg(F.count("*").alias("__s"))

@@ -50,13 +50,11 @@ def latest_then_eligible(spark, d):
 @query("""WITH c AS (SELECT item_id, arg_max(id, (fetched_at, id)) AS cur FROM item_versions GROUP BY item_id)
 SELECT v.item_id, v.id, CAST(row_number() OVER (PARTITION BY v.item_id ORDER BY CASE WHEN v.id = cur THEN 1 ELSE 0 END, fetched_at DESC, v.id DESC) AS INTEGER) AS previous_rank FROM item_versions v JOIN c USING (item_id)""")
 def previous_version_rank(spark, d):
-    """versions ranked by age, the current one last."""
-    from pyspark.sql import Window
-
+    """versions ranked by age, the current one last; a hot item is cut into blocks of its timeline."""
     v = _t(spark, d, "item_versions").select("item_id", "id", "fetched_at")
     cur = rel.latest(v, ["item_id"], ["fetched_at", "id"]).select("item_id", F.col("id").alias("cur"))
-    w = Window.partitionBy("item_id").orderBy(F.when(F.col("id") == F.col("cur"), 1).otherwise(0), F.desc("fetched_at"), F.desc("id"))
-    return v.join(cur, "item_id").select("item_id", "id", F.row_number().over(w).alias("previous_rank"))
+    aged = v.join(cur, "item_id").withColumn("by", F.when(F.col("id") == F.col("cur"), F.lit(1 << 62)).otherwise(F.coalesce(-F.unix_micros(F.col("fetched_at").cast("timestamp")), F.lit(1 << 61))))
+    return numbered(aged, ["item_id"], "by", [F.desc("id")], "previous_rank").select("item_id", "id", "previous_rank")
 
 
 @query("""WITH l AS (SELECT event_id, max_by(id, (revision_no, received_at, id)) AS id FROM event_revisions GROUP BY event_id)
