@@ -17,6 +17,7 @@ import html
 import math
 import re
 from collections import Counter
+from collections.abc import Iterator
 from functools import lru_cache
 
 import pandas as pd
@@ -233,8 +234,14 @@ def body_lines(df: DataFrame, key: str, text_field: str, page_field: str, title:
     """
     mark = F.encode(F.lit("<article"), "UTF-8") if dict(df.dtypes)[page_field] == "binary" else F.lit("<article")
     labelled = df.select(key, F.col(page_field).alias("p")).where(F.contains(F.col("p"), mark)).orderBy(F.xxhash64(key), key).limit(most)
-    sample = [bytes(r["p"]).decode("utf-8", "replace") if not isinstance(r["p"], str) else r["p"] for r in labelled.select("p").collect()]
-    weights = tuple(sorted(fit(sample).items()))
+
+    def fitted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        pages = [bytes(p).decode("utf-8", "replace") if not isinstance(p, str) else p for b in batches for p in b["p"]]
+        found = fit(pages)
+        yield pd.DataFrame({"word": list(found), "weight": list(found.values())})
+
+    # one task fits them all; only weights reach the driver
+    weights = tuple(sorted((r["word"], r["weight"]) for r in labelled.select("p").coalesce(1).mapInPandas(fitted, "word string, weight double").collect()))
 
     @F.pandas_udf("array<int>")
     def of_text(texts: pd.Series, titles: pd.Series) -> pd.Series:
