@@ -21,6 +21,7 @@ def local_session(cpus: str = "8", app: str = "tidemark") -> SparkSession:
         .config("spark.driver.memory", "12g")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .getOrCreate()
     )
 
@@ -43,7 +44,11 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the shared checkpoint folder: lineage ends there and survives lost executors."""
+    """Materialise ``df`` in the shared checkpoint folder: lineage ends there and survives lost executors.
+
+    Files go when nothing refers to them any more, where the session sets spark.cleaner.referenceTracking.cleanCheckpoints
+    (it must be set before the session starts; ``local_session`` does).
+    """
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 
