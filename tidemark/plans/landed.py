@@ -100,12 +100,10 @@ def parsed_notes(spark, d):
     return got.select("source_id", "external_id", "title", F.col("metadata.acceptance_status").alias("acceptance"), _us("published_at").alias("published_us"))
 
 
-@query(f"SELECT source_id, '2024.acl-long.' || row_number() OVER (ORDER BY record_id) AS external_id, a AS title, b AS summary FROM {_I} WHERE a <> '' QUALIFY {_TERMS.replace('lower(t || chr(10) || s)', 'lower(a || chr(10) || b)')}")
+@query(f"SELECT source_id, '2024.acl-long.' || CAST(regexp_replace(record_id, '[^0-9]', '', 'g') AS BIGINT) AS external_id, a AS title, b AS summary FROM {_I} WHERE a <> '' AND ({_TERMS.replace('lower(t || chr(10) || s)', 'lower(a || chr(10) || b)')})")
 def parsed_anthology(spark, d):
     """Titles by anchor, abstracts by the paper named in their id."""
-    from pyspark.sql import Window
-
-    i = _items(spark, d).where("a <> ''").withColumn("n", F.row_number().over(Window.orderBy("record_id")).cast("string"))
+    i = _items(spark, d).where("a <> ''").withColumn("n", F.regexp_replace("record_id", "[^0-9]", "").cast("bigint").cast("string"))
     body = F.concat(F.lit("<p><a href='/2024.acl-long."), F.col("n"), F.lit("/'>"), escape_xml(F.col("a")), F.lit("</a></p><div id='abstract-2024--acl-long--"), F.col("n"), F.lit("' class='card'><div class='card-body p-3'>"), escape_xml(F.col("b")), F.lit("</div></div>"))
     return pages.anthology_events(_payloads(i, body)).select("source_id", "external_id", "title", "summary")
 

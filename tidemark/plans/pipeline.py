@@ -112,14 +112,16 @@ _T = "CASE WHEN status = 'MATERIAL_UPDATE' THEN coalesce(material_updated_at, fi
 
 
 @query(f"""SELECT event_id, score, CAST(row_number() OVER (ORDER BY {_T} DESC NULLS LAST, score DESC, event_id) AS INTEGER) AS place FROM {_M} WHERE list_contains(topics, 'long_horizon') AND verification_status = 'corroborated' AND score >= 10
-AND {_T} >= (SELECT max(first_seen_at) FROM radar_events) - INTERVAL 3000 DAYS""")
+AND {_T} >= (SELECT max(first_seen_at) FROM radar_events) - INTERVAL 3000 DAYS QUALIFY place <= 200""")
 def facet_filters(spark, d):
-    """Conjunctive optional filters, the range by the time an event counts, the list in its order."""
+    """C13, C14, G11 (the limit is the feature): conjunctive optional filters, the range by the time an event counts, the head of the list in its order."""
     from pyspark.sql import Window
 
     f = {"topic": "long_horizon", "entity": None, "verification_status": "corroborated", "evidence_type": None, "status": None, "event_type": None, "source_id": None, "min_score": 10}
     e = ev.filter_events(_events(spark, d), f, _now(table(spark, d, "radar_events"), "first_seen_at"), 3000)
-    return e.select("event_id", "score", F.row_number().over(Window.orderBy(ev.event_time(e).desc_nulls_last(), F.desc("score"), "event_id")).alias("place"))
+    order = [F.desc_nulls_last("at"), F.desc("score"), F.col("event_id")]
+    head = e.select("event_id", "score", ev.event_time(e).alias("at")).orderBy(*order).limit(200)
+    return head.select("event_id", "score", F.row_number().over(Window.orderBy(*order)).alias("place"))
 
 
 @query("SELECT event_id, score FROM radar_events WHERE score IS NOT NULL ORDER BY first_seen_at DESC NULLS LAST, score DESC, event_id LIMIT 100")
