@@ -147,6 +147,38 @@ def test_the_greatest_posterior_survives(spark):
     assert got == {"q": "aq", "time": "xq", "worth": "xq"}
 
 
+MADE = "grp string, key string, source string, seen bigint, field string, value bigint, worth int"
+CONTESTED = [("q", f"{s}q", s, 5, "f", v, 1) for s, v in (("a", 1), ("b", 1), ("x", 2), ("y", 2), ("z", 2))]
+
+
+def test_sources_are_judged_by_votes_whenever_seen(spark):
+    """Copied false values that are seen last in their groups don't make their sources the accurate ones."""
+    rng = random.Random(5)
+    rows = []
+    for g in range(40):
+        rows += [(f"g{g}", f"{s}{g}", s, i, "f", 0 if rng.random() < 0.85 else i, 1) for i, s in enumerate("abcd", 1)]
+        rows += [(f"g{g}", f"{s}{g}", s, i, "f", 9, 1) for i, s in enumerate("xyz", 11)]
+        rows += [(f"g{g}", f"cut{g}", "a", 99, "cut", 1, 1), (f"g{g}", f"whole{g}", "w", 1, "cut", 2, 2)]  # less worth is no mistake of a
+    made = spark.createDataFrame(rows + CONTESTED, MADE)
+    got = {r.grp: r.key for r in fusion.survivors(made).where("field = 'f' and grp in ('q', 'g0')").collect()}
+    assert got == {"q": "aq", "g0": "z0"}
+
+
+def test_copying_is_judged_where_both_claim(spark):
+    """Mistakes made where the other source claims nothing don't hide that all common ones are shared."""
+    rows = []
+    for g in range(10):
+        rows += [(f"g{g}", f"{s}{g}", s, 1, "f", 0, 1) for s in "abcd"] + [(f"g{g}", f"{s}{g}", s, 1, "f", 9, 1) for s in "xyz"]
+        for s in "xyz":
+            for n in "12":
+                rows += [(f"{s}{n}{g}", f"{t}{n}{g}", t, 1, "f", 0 if t in "cd" else 9, 1) for t in "cd" + s]
+    for g in range(80):
+        rows += [(f"t{g}", f"{s}t{g}", s, 1, "f", 0, 1) for s in "cdxyz"]
+    made = spark.createDataFrame(rows + CONTESTED, MADE)
+    got = {r.grp: r.key for r in fusion.survivors(made).where("grp = 'q'").collect()}
+    assert got == {"q": "aq"}
+
+
 # --- near-duplicates
 
 HOW = {"item": ("word", 3, 10), "event": ("character", 4, 0)}
